@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, quality
+from . import decontaminate, language, packing, quality, substring
 from .cluster import table
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file, where the installation has it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(packing.TOKENIZER))
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,4 +31,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op7_quality": op7_quality, "op8_language": op8_language}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {
+    "op4_substring": op4_substring,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_quality": op7_quality,
+    "op8_language": op8_language,
+    "op9_packing": op9_packing,
+}

@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are hashed together; a longer text is cut at a separator.
 BLOCK = 1 << 20
@@ -135,6 +137,17 @@ def inside(bounds: np.ndarray, k: int, n: int) -> np.ndarray:
     return ok
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that the texts in column ``at`` are a few MB together: a worker's memory follows that, not the rows in a batch."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sums, first = np.cumsum(sizes), 0
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(sums, most + (sums[first - 1] if first else 0), side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:
     """The distinct k-word shingles of one text, sorted; a shorter text is one shingle, a text without words has none."""
     if not len(h):
