@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, quality, substring
+from . import decontaminate, language, packing, quality, secrets, sharding, substring
 from .cluster import table
 
 
@@ -15,6 +15,14 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(packing.TOKENIZER))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op3_sharding": op3_sharding,
     "op4_substring": op4_substring,
     "op5_decontaminate": op5_decontaminate,
     "op7_quality": op7_quality,
