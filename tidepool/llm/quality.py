@@ -113,7 +113,7 @@ def describe(documents: DataFrame) -> DataFrame:
     """doc_id and the statistics of each text, read once."""
 
     def run(batches):
-        for batch in batches:
+        for batch in W.slices(batches, 1):
             x = vectors(batch.column(1).to_pylist())
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "x"])
@@ -164,7 +164,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, shrinkage: float = SHRINK
     at = documents.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in W.slices(batches, at):
             keep = model.value.scores(vectors(batch.column(at).to_pylist())) >= threshold
             yield batch.filter(pa.array(keep))
 
