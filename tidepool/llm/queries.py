@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, quality, secrets, sharding, substring
+from . import dart, decontaminate, extract, fingerprint, language, near, packing, quality, secrets, sharding, substring
 from .cluster import table
 
 
@@ -19,6 +19,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"), dart.signer)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,12 +51,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_minhash": op2_minhash,
     "op3_sharding": op3_sharding,
     "op4_substring": op4_substring,
     "op5_decontaminate": op5_decontaminate,
+    "op6_fingerprint": op6_fingerprint,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_packing": op9_packing,
+    "op10_extract": op10_extract,
 }
