@@ -156,11 +156,7 @@ def score(documents: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE,
 
 def keep_good(documents: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that the classifier doesn't reject; scored where they are read, with no shuffle of texts."""
-    marks = pick(labels, "doc_id", "quality").select(F.col("doc_id").cast("long").alias("marked")).distinct()
-    ids = F.col("doc_id").cast("long")
-    # Only labelled texts are needed to fit.
-    known = documents.withColumn("marked", ids).join(marks, "marked", "left_semi")
-    model = documents.sparkSession.sparkContext.broadcast(fit(describe(known), labels, shrinkage))
+    model = documents.sparkSession.sparkContext.broadcast(fit(settle(describe(documents)), labels, shrinkage))
     at = documents.columns.index("text")
 
     def run(batches):
