@@ -13,6 +13,7 @@ Spark too.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from ..functions import ordering, predicates
 from ..operators import deltas
 from ..plans import ir
 from ..schema import Catalog, Table
+from .checkpoints import settle
 
 #: Sets of changes that are laid over a base at most before they are merged.
 MOST_CHANGES = 16
@@ -33,6 +35,7 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, catalog: Catalog, path: str | None = None, most_changes: int = MOST_CHANGES):
         self.spark, self.catalog, self.path, self.most_changes = spark, catalog, path, most_changes
         self._frames: dict[str, DataFrame] = {}
+        self._parts: dict[str, list[DataFrame]] = {}
         self._manifests: dict[str, dict] = {}
 
     # -- manifests
@@ -65,23 +68,21 @@ class SnapshotStore:
     def _empty(self, table: Table) -> DataFrame:
         return self.spark.createDataFrame([], table.schema)
 
-    def _changes(self, table: Table, paths: list[str]) -> DataFrame:
-        """The last change of each key."""
-        frame = self.spark.read.schema(deltas.schema(table.schema, table.key).add("version", "long")).parquet(*paths)
-        return deltas.compose(frame, "version")
-
     def read(self, name: str) -> DataFrame:
         """The table as it is now."""
         table = self.catalog.table(name)
         if self.path is None:
-            return self._frames.get(name, self._empty(table))
-        manifest = self._manifest(name)
-        base = self.spark.read.schema(table.schema).parquet(manifest["base"]) if manifest["base"] else self._empty(table)
-        if not manifest["changes"]:
+            base, parts = self._frames.get(name, self._empty(table)), self._parts.get(name, [])
+            changes = reduce(DataFrame.unionByName, parts) if parts else None
+        else:
+            manifest = self._manifest(name)
+            base = self.spark.read.schema(table.schema).parquet(manifest["base"]) if manifest["base"] else self._empty(table)
+            layout = deltas.schema(table.schema, table.key).add("version", "long")
+            changes = self.spark.read.schema(layout).parquet(*manifest["changes"]) if manifest["changes"] else None
+        if changes is None:
             return base
-        frame = self.spark.read.schema(deltas.schema(table.schema, table.key).add("version", "long")).parquet(*manifest["changes"])
-        # Every changed key is replaced, also one that came back to what it was.
-        last = frame.groupBy("key").agg(F.max_by(F.struct("after"), "version").alias("x")).select("key", F.col("x.after").alias("after"))
+        # The last image of every changed key counts, also of one that came back to what it was.
+        last = changes.groupBy("key").agg(F.max_by(F.struct("after"), "version").alias("x")).select("key", F.col("x.after").alias("after"))
         kept = base.join(last.select(F.col("key").alias("changed_")), F.col(f"`{table.key}`") == F.col("changed_"), "left_anti")
         return kept.unionByName(last.where("after IS NOT NULL").select("after.*"))
 
@@ -114,7 +115,7 @@ class SnapshotStore:
         table = self.catalog.table(name)
         rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema])
         if self.path is None:
-            self._frames[name] = rows
+            self._frames[name], self._parts[name] = rows, []
             return
         version = self._manifest(name)["version"] + 1
         base = f"{self.path}/{name}/base-{version}"
@@ -124,11 +125,11 @@ class SnapshotStore:
 
     def apply(self, name: str, batch: DataFrame) -> None:
         """Adds a batch: upserts its after-images, deletes the keys without."""
-        table = self.catalog.table(name)
         if self.path is None:
-            # In memory there is no file to cut the plan at, so rows are kept as a fresh local frame.
-            now = deltas.apply(self.read(name), batch, table.key)
-            self._frames[name] = self.spark.createDataFrame(now.collect(), table.schema)
+            parts = self._parts.setdefault(name, [])
+            parts.append(settle(batch.withColumn("version", F.lit(len(parts)).cast("long"))))
+            if len(parts) > self.most_changes:
+                self.compact(name)
             return
         manifest = self._manifest(name)
         version = manifest["version"] + 1
@@ -140,4 +141,4 @@ class SnapshotStore:
 
     def compact(self, name: str) -> None:
         """Merges the changes into a new base; readers of the old one keep their files."""
-        self.load(name, self.read(name))
+        self.load(name, settle(self.read(name)) if self.path is None else self.read(name))
