@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ def settle(frame: DataFrame) -> DataFrame:
     Where a session names no folder, as in tests on one machine, one is set.
     """
     spark = frame.sparkSession
+    ship(spark)
     if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -33,7 +37,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this library to the executors, whose Python may not have it; once for each application."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
+    if app in _shipped or not root.is_dir():
+        return
+    _shipped.add(app)
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
+
+
 def pick(frame: DataFrame, *names: str) -> DataFrame:
     """Only these columns, so that further columns of any name can't clash; an absent one is null."""
+    ship(frame.sparkSession)
     have = set(frame.columns)
     return frame.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
