@@ -5,12 +5,15 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import checkpoints
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder, read by Spark only, so any store that Spark knows will do."""
@@ -18,23 +21,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def settle(frame: DataFrame) -> DataFrame:
-    """The frame with its rows written to the shared folder in spark.checkpoint.dir; what led to them is never run again.
-
-    Where a session names no folder, as in tests on one machine, one is set.
-    """
-    spark = frame.sparkSession
-    ship(spark)
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return frame.checkpoint()
+    """The frame with its rows in the shared checkpoint folder, made by executors that have this library."""
+    ship(frame.sparkSession)
+    return checkpoints.settle(frame)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark remove the shuffle files of finished steps now, not when the driver happens to collect its garbage.
+
+    Plans let go of their shuffles one collection after Python lets go of the plans, so there are a few.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 _shipped: set[str] = set()
