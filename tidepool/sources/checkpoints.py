@@ -15,4 +15,6 @@ def settle(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return frame.checkpoint()
+    done = frame.checkpoint()._jdf
+    # A checkpoint keeps its plan's size estimate, a product over all joins so far; in a loop those numbers outgrow the driver.
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
