@@ -58,3 +58,10 @@ def pick(frame: DataFrame, *names: str) -> DataFrame:
     ship(frame.sparkSession)
     have = set(frame.columns)
     return frame.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column has."""
+    while name in frame.columns:
+        name += "_"
+    return name

@@ -126,7 +126,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_b
         test = spark.sparkContext.broadcast(TestSet(blocks[0], n))
 
         def run(batches):
-            for batch in batches:
+            for batch in W.slices(batches, 1):
                 rows = [(k, int(hit.sum()), len(items), _ids_digest(items)) for _, k, hit, items in scan(batch.column(1).to_pylist(), test.value)]
                 k, hit, items, digest = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
@@ -138,7 +138,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_b
         test = spark.sparkContext.broadcast(TestSet(block, n))
 
         def part(batches, test=test):
-            for batch in batches:
+            for batch in W.slices(batches, 1):
                 out = []
                 for i, k, hit, items in scan(batch.column(1).to_pylist(), test.value):
                     if items:
@@ -153,7 +153,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_b
     found = found.groupBy("doc_id", "text_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def count(batches):
-        for batch in batches:
+        for batch in W.slices(batches, 1):
             k = [len((t or "").encode(errors="replace").translate(W.FOLD).split()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(k, pa.int64())], ["doc_id", "text_key", "n_words"])
 
@@ -178,22 +178,21 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 10,
         at = names.index("text")
 
         def clean(batches):
-            for batch in batches:
+            for batch in W.slices(batches, at):
                 keep = [not items for *_, items in scan(batch.column(at).to_pylist(), test.value)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return documents.mapInArrow(clean, documents.schema)
-    keyed = documents.withColumn("text_key_", F.md5(F.coalesce("text", F.lit(""))))
+    keyed, at = documents, documents.columns.index("text")
     for block in _blocks(pick(benchmark, "item_id", "text"), max_bytes):
         test = documents.sparkSession.sparkContext.broadcast(TestSet(block, n))
-        at = keyed.columns.index("text")
 
         def clean_block(batches, test=test, at=at):
-            for batch in batches:
+            for batch in W.slices(batches, at):
                 yield batch.filter(pa.array([not items for *_, items in scan(batch.column(at).to_pylist(), test.value)], pa.bool_()))
 
         keyed = keyed.mapInArrow(clean_block, keyed.schema)
-    return keyed.drop("text_key_")
+    return keyed
 
 
 def remove_spans(text: str | None, test: TestSet) -> str | None:

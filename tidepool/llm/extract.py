@@ -147,12 +147,22 @@ def main_run(found: list[tuple[str, str]], weights: Weights) -> tuple[int, int]:
     return span
 
 
+def _breaks(token: tuple[str, str]) -> bool:
+    kind, said = token
+    return kind != "text" and said in BLOCKS
+
+
 def extract(page: str | None, weights: Weights) -> str:
     """The main text of one page."""
     if not page:
         return ""
     found = tokens(page)
     first, last = main_run(found, weights)
+    # Whole blocks: an inline tag at the edge of the run may cost more than the words behind it.
+    while first < last and first > 0 and not _breaks(found[first - 1]):
+        first -= 1
+    while first < last < len(found) and not _breaks(found[last]):
+        last += 1
     blocks, own = [], []
     for kind, said in [*found[first:last], ("close", "p")]:
         if kind == "text":

@@ -5,7 +5,7 @@ nowhere.  Nodes that share a band are candidates.  A band's nodes are never
 paired off with each other: in the first round each is compared with the band's
 hub, the node that shares bands with most others; then only nodes that are not
 yet in one component with the rest are compared, one hub in the first of these
-rounds and twice as many in each next one, until every band is one component or
+rounds and four times as many in each next one, until every band is one component or
 each of its nodes has been compared with all nodes outside its own.  So no link
 between different texts that share a band can join two classes unnoticed, and a
 group of n copies of one text costs n comparisons.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import graphs
 from . import words as W
-from .cluster import pick, release, settle
+from .cluster import free_name, pick, release, settle
 
 #: Words in a shingle, and the similarity from which texts are near duplicates.
 SHINGLE, THRESHOLD = 5, 0.8
@@ -136,7 +136,7 @@ def classes(documents: DataFrame, signer: Signer, threshold: float = THRESHOLD,
         left = members.join(chosen.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti")
         split = left.join(placed, "node").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
         members = settle(left.join(split, "band"))
-        hubs, first = (1 if first else hubs * 2), False
+        hubs, first = (1 if first else hubs * 4), False
         release(spark)
     ids = signed.select("doc_id", "node", "a", "b").join(leads.select("a", "b", F.col("node").alias("lead")), ["a", "b"])
     ids = ids.join(placed.select(F.col("node").alias("lead"), "root"), "lead", "left")
@@ -146,7 +146,8 @@ def classes(documents: DataFrame, signer: Signer, threshold: float = THRESHOLD,
 def keep_one(documents: DataFrame, signer: Signer, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """The documents, with all their columns, less all but the first of each class; equal rows of the first count once."""
     found = settle(classes(documents, signer, threshold, k))
+    name = free_name(documents, "node")
     node = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    firsts = found.select(F.col("class_id").alias("node_")).distinct()
-    rows = documents.withColumn("node_", node).join(firsts, "node_", "left_semi")
-    return rows.dropDuplicates(["node_"]).select(*[f"`{c}`" for c in documents.columns])
+    firsts = found.select(F.col("class_id").alias(name)).distinct()
+    rows = documents.withColumn(name, node).join(firsts, name, "left_semi")
+    return rows.dropDuplicates([name]).select(*[f"`{c}`" for c in documents.columns])

@@ -35,7 +35,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Runs of such characters that are scored, and the log-likelihood ratio (in all, and for each transition) from which they are secrets.
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
-LEAST, LEAST_EACH = 12.0, 0.45
+LEAST, LEAST_EACH = 12.0, 0.4
 
 #: Share of a uniform distribution in every estimate.
 UNIFORM = 0.25
@@ -174,7 +174,8 @@ def scan(documents: DataFrame, table: list[float] | None = None) -> DataFrame:
 def redact(documents: DataFrame, mark: str = "[SECRET]", table: list[float] | None = None) -> DataFrame:
     """The documents, with all their columns, where each run of overlapping spans is replaced by the mark; n_chars, if there, follows the text."""
     table = table or train(labelled_samples(documents.sparkSession))
-    rows = with_spans(documents, table)
+    # The columns travel as one, whatever they are called.
+    rows = with_spans(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text").cast("string").alias("text")), table)
     text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -184,7 +185,10 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", table: list[float] | No
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, said).otherwise(s["out"]).alias("out"))
 
     clean = F.aggregate("spans_", zero, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-    rows = rows.withColumn("text", F.when(F.size("spans_") > 0, clean).otherwise(text))
-    if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans_") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*[f"`{c}`" for c in documents.columns])
+    rows = rows.select("row", (F.size("spans_") > 0).alias("found"), F.when(F.size("spans_") > 0, clean).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean")}
+    fields = []
+    for f in documents.schema:
+        old = F.col(f"row.`{f.name}`")
+        fields.append((F.when(F.col("found"), new[f.name].cast(f.dataType)).otherwise(old) if f.name in new else old).alias(f.name))
+    return rows.select(*fields)
