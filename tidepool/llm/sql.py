@@ -1,3 +1,46 @@
-"""SQL that the queries of this subpackage must equal, where SQL can express them."""
+"""SQL that the queries of this subpackage must equal, where SQL can express them.
 
-ORACLE: dict[str, str] = {}
+The others rest on hashes, models or token ids that SQL doesn't have; the tests
+hold them against brute force, held-out labels or exact round trips.
+"""
+
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Pairs of at least 0.8, followed to the smallest document that they reach.
+OP2 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, {_FOLDED} AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM places UNION ALL SELECT doc_id, ' ' || text AS s FROM d WHERE len(w) = 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+near AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE CAST(both_have AS DOUBLE) / (p.n + q.n - both_have) >= 0.8),
+links AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.other = links.x)
+SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id
+"""
+
+#: Windows of twenty words in order; all but the first of equal ones cover words that go.
+OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS i, unnest(list_transform(generate_series(1, len(w) - 19), lambda i: array_to_string(w[i:i + 19], ' '))) AS s FROM d),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM places),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM ranked, (SELECT unnest(generate_series(0, 19)) AS j) WHERE k > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS said, count(*) AS n FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+#: Windows of ten folded words, or fewer of short items, looked up in the benchmark's.
+OP5 = rf"""
+WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
+items AS (SELECT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM items))),
+hits AS (SELECT DISTINCT doc_id, places.k, i, item_id FROM places JOIN items ON places.k = items.k AND places.s = items.s),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(found.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op2_minhash": OP2, "op4_substring": OP4, "op5_decontaminate": OP5}
