@@ -19,8 +19,8 @@ sequences q to q+m at one offset.  Pieces are ranked within their length in
 hash buckets, so no task ever holds all pieces of a length.
 
 Token ids come from a public tokenizer.  White space always separates its
-tokens, so the ids of each distinct word are worked out once in a task and
-texts are put together from them.
+tokens, so a worker remembers the ids of words and puts texts together from
+them.
 
 Defined results: a null or empty text is one piece with the end id alone;
 repeated rows are packed each; an empty table gives no pieces; further columns
@@ -46,45 +46,82 @@ from .cluster import pick, settle
 CAPACITY, END, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Parts into which the pieces of a length are split for ranking.
 BUCKETS = 4096
-#: Distinct words that a worker remembers, and characters handled at once.
-REMEMBERED, BLOCK = 250_000, 1 << 20
+#: Distinct words, and pieces of words, that a worker remembers, the longest of them, and characters handled at once.
+REMEMBERED, LONGEST, BLOCK = 300_000, 64, 1 << 20
 
 _RARE_BLANKS = re.compile("[\x1c-\x1f]")
 
 
-class Tokens:
-    """Token ids of whole texts as little-endian 32-bit bytes."""
+#: Characters of the common part of the Latin script: below it lower case and composition are per character.
+_LATIN = 0x180
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+def _class(test) -> str:
+    return "".join(re.escape(chr(c)) for c in range(_LATIN) if test(chr(c)))
+
+
+# The pieces into which this tokenizer cuts a word in lower case.
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class(str.isalpha)}]+|[{_class(str.isnumeric)}]|[^{_class(str.isalnum)}]+")
+_PLAIN = re.compile(f"[^\x00-\u0129\u0131-{chr(_LATIN - 1)}]")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> bytes:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set(words).difference(known))
-        if new:
-            known.update(zip(new, self._encode(new)))
-        return b"".join(map(known.__getitem__, words))
+class Tokens(dict):
+    """Token ids of whole texts as little-endian 32-bit bytes; as a dict, those of each word that it remembers.
 
-    def __call__(self, text: str) -> bytes:
+    White space and pieces of words never share a token, so a word not seen
+    before is cut into pieces, and only a piece not seen before meets the
+    model's merges.  A word with rarer letters is left to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is not None:
+            return ids
+        ids = self.old_pieces.get(piece)
+        if ids is None:
+            said = piece if piece.isascii() and piece.isprintable() else self.as_bytes.pre_tokenize_str(piece)[0][0]
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(said)])
+        if len(self.pieces) >= REMEMBERED:
+            self.old_pieces, self.pieces = self.pieces, {}
+        self.pieces[piece] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._whole(word) if _PLAIN.search(word) else b"".join(map(self._piece, _PIECE.findall(word.lower())))
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:  # words in use come back from the old ones
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
         if _RARE_BLANKS.search(text):  # blanks to Python, not to the tokenizer
-            return self._encode([text])[0]
+            return self._whole(text)
         if len(text) <= BLOCK:
-            return self._words(text.split())
+            return b"".join(map(self.__getitem__, text.split()))
         parts, at = [], 0
         while at < len(text):
             end = min(len(text), at + BLOCK)
             while end < len(text) and not text[end].isspace():
                 end += 1
-            parts.append(self._words(text[at:end].split()))
+            parts.append(b"".join(map(self.__getitem__, text[at:end].split())))
             at = end
         return b"".join(parts)
 
@@ -104,7 +141,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFra
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches):
-        encode = tokens(path)
+        encode = tokens(path).encode
         for batch in W.slices(batches, 1):
             out, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
