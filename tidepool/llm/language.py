@@ -37,6 +37,8 @@ GRAMS, N = 12000, 4
 #: Slots of the filter as a power of two, and lookups for each n-gram.
 BITS, LOOKUPS = 18, 3
 MAX_LANGUAGES = 63
+#: Parts in which the rows of a language are ranked.
+PARTS = 256
 
 _BLOCK = 1 << 18
 
@@ -131,16 +133,18 @@ def fit(documents: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_C
     """Learns from rows with a language that aren't held out."""
     docs = pick(documents, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The numbers alone are ranked; texts are fetched for the few chosen.
-    chosen = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+    # The numbers alone are ranked, first in parts of a language, so that none is ranked whole in one task; texts are fetched for the few chosen.
+    chosen = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
+    for keys in (("lang", "part"), ("lang",)):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+        chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
     totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     chosen = chosen.where(F.col("lang").isin(list(totals))).select(F.col("doc_id").alias("id"), F.col("lang").alias("in_lang"))
     rows = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("in_lang")), "left_semi")
 
     def count(batches):
         own: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in W.slices(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys, n = np.unique(grams(text or ""), return_counts=True)
                 own.setdefault(lang, Counter()).update(dict(zip(keys.tolist(), n.tolist())))
@@ -160,7 +164,7 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, sample))
 
     def run(batches):
-        for batch in batches:
+        for batch in W.slices(batches, 1):
             found = [model.value.decide(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
