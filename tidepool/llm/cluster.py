@@ -7,6 +7,7 @@ import os
 import tempfile
 import time
 import zipfile
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,29 @@ def settle(frame: DataFrame) -> DataFrame:
     return checkpoints.settle(frame)
 
 
+#: Rows of a few numbers each that count as a small table: it may be broadcast, and needs few tasks.
+SMALL_ROWS = 200_000
+
+
+@dataclass
+class Settled:
+    """A settled table of a few numeric columns with its number of rows; a small one is read by a few tasks."""
+
+    frame: DataFrame
+    rows: int
+
+    @property
+    def side(self) -> DataFrame:
+        """For joins: to be broadcast if it is small, else as it is."""
+        return F.broadcast(self.frame) if self.rows <= SMALL_ROWS else self.frame
+
+
+def counted(frame: DataFrame) -> Settled:
+    done = settle(frame)
+    rows = done.count()
+    return Settled(done.coalesce(8) if rows <= SMALL_ROWS else done, rows)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished steps now, not when the driver happens to collect its garbage.
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import graphs
 from . import words as W
-from .cluster import free_name, pick, release, settle
+from .cluster import counted, free_name, pick, release, settle
 
 #: Words in a shingle, and the similarity from which texts are near duplicates.
 SHINGLE, THRESHOLD = 5, 0.8
@@ -112,32 +112,35 @@ def classes(documents: DataFrame, signer: Signer, threshold: float = THRESHOLD,
     members = settle(members.join(full.select("band", "size"), "band").select("band", "node", "n", "size"))
     release(spark)
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = settle(members.join(degree, "node").select("band", "node", "n", "degree"))
-    needed = members.select("node").distinct()
+    members = counted(members.join(degree, "node").select("band", "node", "n", "degree"))
+    needed = members.frame.select("node").distinct()
     texts = settle(docs.select("node", "text").join(needed, "node", "left_semi").distinct())
+    placed = counted(needed.select("node", F.col("node").alias("root")))
     release(spark)
-    placed = settle(needed.select("node", F.col("node").alias("root")))
     hubs, first = 1, True
-    while not members.isEmpty():
-        here = members.join(placed, "node")
+    while members.rows:
+        here = members.frame.join(placed.side, "node")
         if first:
             order = Window.partitionBy("band").orderBy(F.desc("degree"), "node")
         else:
             here = here.join(here.groupBy("band", "root").agg(F.count(F.lit(1)).alias("mates")), ["band", "root"])
             order = Window.partitionBy("band").orderBy("mates", F.desc("degree"), "node")
-        chosen = settle(here.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs).select("band", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n")))
-        pairs = here.select("band", "node", "n", "root").join(chosen, "band").where("root <> hub_root")
+        here = counted(here).frame
+        chosen = counted(here.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs).select("band", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n")))
+        pairs = here.select("band", "node", "n", "root").join(chosen.side, "band").where("root <> hub_root")
         pairs = pairs.where((F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
-        linked = settle(_compare(pairs.select("hub", "node").distinct(), texts, k, threshold))
-        ends = linked.join(placed.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(placed.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        moved = graphs.components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        placed = settle(placed.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        linked = counted(_compare(pairs.select("hub", "node").distinct(), texts, k, threshold))
+        if linked.rows:
+            ends = linked.frame.join(placed.side.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(placed.side.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+            moved = counted(graphs.components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to")))
+            placed = counted(placed.frame.join(moved.side, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         # A hub has met all its band; what remains are bands whose other nodes are in two components or more.
-        left = members.join(chosen.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti")
-        split = left.join(placed, "node").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-        members = settle(left.join(split, "band"))
+        left = members.frame.join(chosen.side.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti")
+        split = left.join(placed.side, "node").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+        members = counted(left.join(split, "band"))
         hubs, first = (1 if first else hubs * 4), False
         release(spark)
+    placed = placed.frame
     ids = signed.select("doc_id", "node", "a", "b").join(leads.select("a", "b", F.col("node").alias("lead")), ["a", "b"])
     ids = ids.join(placed.select(F.col("node").alias("lead"), "root"), "lead", "left")
     return ids.select("doc_id", F.coalesce("root", "lead").alias("class_id"))
