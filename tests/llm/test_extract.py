@@ -55,3 +55,24 @@ def test_query_form(spark):
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in X.main_text(frame).collect())
     assert got == sorted([("1", BODY, len(BODY))] * 2 + [("None", "", 0), ("3", "é🙂", 2)])
     assert X.main_text(frame.limit(0)).count() == 0
+
+
+MENU = "<ul>" + "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(8)) + "</ul>"
+TITLE = "Six words are in this title"
+NESTED = [
+    (f"<h1>{TITLE}</h1><div class=body><p>{BODY}</p><p>{BODY}</p></div>", [TITLE, BODY, BODY]),
+    (f"<h1>{TITLE}</h1>" + f"<div>{BODY}</div>" * 5, [TITLE] + [BODY] * 5),
+    ("<div>Only five words are here.</div>" * 4, ["Only five words are here."] * 4),
+    (f"<section><h2>First</h2><p>A few words.</p></section><section><p>{BODY}</p></section><section><h2>End</h2><p>Few words again.</p></section>", ["First", "A few words.", BODY, "End", "Few words again."]),
+    (f"<figure><img src=x><figcaption>A caption of it</figcaption></figure><div><div><p>{BODY}</p></div><pre><code>a <i>b</i></code></pre></div><div>{BODY}</div>", ["A caption of it", BODY, "a b", BODY]),
+    (f"<p>Few words.</p><div class=ad>Buy</div><aside>x</aside><p>{BODY}</p><div class=ad>Buy</div><p>Few words more.</p>", ["Few words.", BODY, "Few words more."]),
+]
+
+
+@pytest.mark.parametrize("box", ["article", "main", "div", "section"])
+@pytest.mark.parametrize("top", [f"<nav>{MENU}</nav>", f"<div>{MENU}</div>", f"<table><tr><td>{MENU}</td></tr></table>"])
+@pytest.mark.parametrize("foot", ["<footer>x</footer>", "<div>All rights reserved</div>", f"<div>{MENU}</div>"])
+def test_nested_main_text_is_whole(box, top, foot):
+    for inner, want in NESTED:
+        page = f"<html><body>{top}<div class=ad>Buy this</div><{box}>{inner}</{box}>{foot}</body></html>"
+        assert X.extract(page, WEIGHTS) == "\n".join(want)

@@ -2,8 +2,9 @@
 
 A page is one sequence of tokens: words score positive, tags negative, and a
 linear scan finds the contiguous run with the highest sum.  What a tag costs is
-learned from labelled pages: the more often a kind of tag lies outside the main
-text, the more it costs.  Elements that never hold main text (scripts, menus,
+learned from labelled pages, apart for tags within an article, within a main
+element, of other elements with most of the page's words, and elsewhere: the more often a kind of tag lies outside the main text,
+the more it costs.  Elements that never hold main text (scripts, menus,
 forms, and what their class or id calls an advert, a notice, a comment, ...)
 are left out before the scan, wherever they are.
 
@@ -43,8 +44,8 @@ AWAY = frozenset(
     "replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget alert consent gdpr legal disclaimer skip toc".split()
 )
 
-#: Words that a unit of log odds against a tag costs.
-SCALE = 6.0
+#: Words that a unit of log odds against a tag costs, and what every tag costs at least.
+SCALE, LEAST = 6.0, 0.05
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*+)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -106,14 +107,39 @@ def tokens(page: str) -> list[tuple[str, str]]:
     return out
 
 
+def within(found: list[tuple[str, str]]) -> list[str]:
+    """For each token where it is: in an article or a main element, whose own tags are outside of it; a tag of another element there that holds more than half of all words is "wide"."""
+    out, depth, words, opened, pairs = [], {"article": 0, "main": 0}, 0, {}, []
+    for i, (kind, said) in enumerate(found):
+        if kind == "close" and said in depth:
+            depth[said] = max(0, depth[said] - 1)
+        out.append("article" if depth["article"] else "main" if depth["main"] else "")
+        if kind == "open" and said in depth:
+            depth[said] += 1
+        if kind == "text":
+            words += len(said.split())
+        elif kind == "open" and said not in VOID:
+            opened.setdefault(said, []).append((i, words))
+        elif kind == "close" and opened.get(said):
+            start, before = opened[said].pop()
+            pairs.append((start, i, words - before))
+    for start, end, held in pairs:
+        if 2 * held > words and not out[start] and not out[end]:
+            out[start] = out[end] = "wide"
+    return out
+
+
 class Weights:
-    """What a word earns and each kind of tag costs."""
+    """What a word earns and each kind of tag costs, by where it is."""
 
-    def __init__(self, word: float, tag: dict[str, float], other: float):
-        self.word, self.tag, self.other = word, tag, other
+    def __init__(self, word: float, tag: dict[str, float], other: float, inner: float = LEAST):
+        self.word, self.tag, self.other, self.inner = word, tag, other, inner
 
-    def cost(self, kind: str, name: str) -> float:
-        return self.tag.get(f"{kind} {name}", self.other)
+    def cost(self, kind: str, name: str, where: str = "") -> float:
+        own = self.tag.get(f"{where} {kind} {name}".lstrip())
+        if own is None:
+            own = self.cost(kind, name) if where == "wide" else -self.inner if where else self.other
+        return own
 
 
 def train(labelled: list[tuple[str, str]], word: float = 1.0) -> Weights:
@@ -125,20 +151,26 @@ def train(labelled: list[tuple[str, str]], word: float = 1.0) -> Weights:
     for page, _ in labelled:
         before, _, rest = page.partition("<!--main-->")
         main, _, after = rest.partition("<!--/main-->")
-        for part, count in ((before, outside), (main, inside), (after, outside)):
-            count.update(f"{kind} {x}" for kind, x in tokens(part) if kind != "text")
+        parts = [tokens(part) for part in (before, main, after)]
+        where = within([x for part in parts for x in part])
+        for part, count in zip(parts, (outside, inside, outside)):
+            here, where = where[: len(part)], where[len(part) :]
+            texts = [i for i, (kind, _) in enumerate(part) if kind == "text"] or [0]
+            for i, (w, (kind, x)) in enumerate(zip(here, part)):
+                if kind != "text":
+                    (count if w != "wide" or texts[0] < i < texts[-1] else outside)[f"{w} {kind} {x}".lstrip()] += 1
     tag = {}
     for k in inside.keys() | outside.keys():
         odds = math.log((outside[k] + 1) / (inside[k] + 1))
-        tag[k] = -max(0.05, SCALE * odds)
+        tag[k] = -max(LEAST, SCALE * odds)
     return Weights(word, tag, -2.0)
 
 
-def main_run(found: list[tuple[str, str]], weights: Weights) -> tuple[int, int]:
-    """First and past-the-last token of the best run: one linear scan."""
+def main_run(found: list[tuple[str, str]], weights: Weights, where: list[str] | None = None) -> tuple[int, int]:
+    """First and past-the-last token of the best run: one linear scan; without ``where`` no tag is in a special place."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, said) in enumerate(found):
-        score = weights.word * len(said.split()) if kind == "text" else weights.cost(kind, said)
+    for i, ((kind, said), place) in enumerate(zip(found, where or [""] * len(found))):
+        score = weights.word * len(said.split()) if kind == "text" else weights.cost(kind, said, place)
         if total <= 0:
             total, start = 0.0, i
         total += score
@@ -157,7 +189,7 @@ def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     found = tokens(page)
-    first, last = main_run(found, weights)
+    first, last = main_run(found, weights, within(found))
     # Whole blocks: an inline tag at the edge of the run may cost more than the words behind it.
     while first < last and first > 0 and not _breaks(found[first - 1]):
         first -= 1
@@ -180,20 +212,42 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 def labelled_pages() -> list[tuple[str, str]]:
-    """Pages with their main text marked, written here by rule: usual layouts, with and without elements that say what they are."""
+    """Pages with their main text marked, written here by rule: usual layouts, with and without elements that say what they are.
+
+    Each layout comes with flat main text, and with main text in nested elements: before, between and behind the paragraphs.
+    """
     line = "Some words of a paragraph that goes on for a while, as paragraphs do."
     out = []
-    for k in range(24):
-        paragraphs = "".join(f"<p>{line} {'More of it. ' * ((i * 7 + k) % 5)}{'<b>Bold words</b> and <a href=/x>a link</a>.' if i % 3 == 0 else ''}</p>" for i in range(2 + k % 6))
-        links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(4 + k % 7))
+    for k in range(84):
+        flat, j = k < 24, k % 24
+        block = "p" if flat else ("div", "p", "section", "div")[k // 2 % 4]
+        paragraphs = [f"<{block}>{line} {'More of it. ' * ((i * 7 + j) % 5)}{'<b>Bold words</b> and <a href=/x>a link</a>.' if i % 3 == 0 else ''}</{block}>" for i in range(2 + j % 6)]
+        links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(4 + j % 7))
         title = "A heading of the page"
         box = ("article", "main", "div", "section")[k % 4]
         top = (f"<nav><ul>{links}</ul></nav>", f"<div><ul>{links}</ul></div>", f"<table><tr><td><a href=/>Home</a></td><td>{links}</td></tr></table>")[k % 3]
         foot = ("<footer>&copy; Somebody</footer>", "<div><ul><li><a href=/>Imprint</a></li></ul></div>", "<div>All rights reserved</div>")[k % 3]
-        items = "".join(f"<li>{line} <a href=/{i}>A link</a> and more.</li>" for i in range(3 + k % 5))
+        items = "".join(f"<li>{line} <a href=/{i}>A link</a> and more.</li>" for i in range(3 + j % 5 if flat else 4))
         quote = f"<blockquote>{line}</blockquote><h2>{title}</h2><table><tr><td>{line}</td><td>A cell</td></tr></table>"
-        main = f"<h1>{title}</h1>{paragraphs}" + (f"<ul>{items}</ul>" if k % 2 else "") + (quote if k % 3 == 1 else "")
-        out.append((f"<html><body>{top}<div class=ad>Buy this now</div><{box}><!--main-->{main}<!--/main--></{box}>{foot}</body></html>", main))
+        more = (f"<ul>{items}</ul>" if k % 2 or not flat else "") + (quote if k % 3 == 1 or not flat else "")
+        if flat:
+            main = f"<h1>{title}</h1>{''.join(paragraphs)}{more}"
+        else:
+            more += f"<ul>{items}</ul>"
+            figure = f"<figure><div><img src=/x></div><figcaption>{line}</figcaption></figure>"
+            code = f"<div><pre><code><span>words</span> of <span>code</span></code></pre></div><p><em>{line}</em> <strong>and</strong> <i>more</i> <span>of <code>it</code></span><br>{line}</p>"
+            between = "<div class=ad>Buy this now</div>" * 3 + ("<div class=ad>Buy this now</div>", "<aside>See also</aside>", "<form>Your mail</form>", "<script>1</script>", "<nav>Contents</nav>")[k % 5]
+            dl = f"<dl><dt>{title}</dt><dd>{line}</dd></dl>"
+            sections = "".join(f"<section><h2>{title}</h2>{x}</section>" for x in (paragraphs[0], "".join(paragraphs[1:] * (3 + (j > 8)))))
+            main = (
+                f"<h1>{title}</h1><div>{figure}{sections}{between}{code}{between}{more}</div>",
+                f"<div><h1>{title}</h1></div><div>{''.join(paragraphs * 6)}</div>{between}<div>{dl}{figure}</div>{more}",
+                f"<section><h1>{title}</h1></section><div>{figure}{sections}{between}{code}{between}<section>{more}</section><div>{line}</div></div>",
+            )[k // 3 % 3]
+            if box == "main":
+                main = (main, f"<article>{main}</article>", f"<h1>{title}</h1><article>{main}</article><article>{''.join(paragraphs)}</article>")[k // 4 % 3]
+        inner = f"<div><ul>{links}</ul></div>" if box == "main" and not flat else ""  # a menu in the main element
+        out.append((f"<html><body>{top}<div class=ad>Buy this now</div><{box}>{inner}<!--main-->{main}<!--/main--></{box}>{foot}</body></html>", main))
     return out
 
 
