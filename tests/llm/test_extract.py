@@ -76,3 +76,22 @@ def test_nested_main_text_is_whole(box, top, foot):
     for inner, want in NESTED:
         page = f"<html><body>{top}<div class=ad>Buy this</div><{box}>{inner}</{box}>{foot}</body></html>"
         assert X.extract(page, WEIGHTS) == "\n".join(want)
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content-with-ads", "comments-open", "category-legal", "sidebar", "comments", "widget"])
+def test_wrappers_are_not_left_out(name):
+    page = f'<body><nav>{MENU}</nav><div class="{name}"><h1>{TITLE}</h1><p>{BODY}</p></div><footer>x</footer></body>'
+    assert X.extract(page, WEIGHTS) == f"{TITLE}\n{BODY}"
+
+
+@pytest.mark.parametrize("name", ["related-work", "search-methods", "legal", "discussion"])
+def test_parts_of_an_article_stay(name):
+    page = f'<article><p>{BODY}</p><section id="{name}"><h2 id="{name}">{TITLE}</h2><p>Few words.</p></section><p>{BODY}</p></article>'
+    assert X.extract(page, WEIGHTS) == f"{BODY}\n{TITLE}\nFew words.\n{BODY}"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "comments", "ad-slot-1", "cookieNotice", "related box"])
+@pytest.mark.parametrize("box", ["article", "main"])
+def test_long_neighbours_of_an_article_are_left_out(box, name):
+    page = f'<div class="{name}">{"<p>And so on and on. </p>" * 12}</div><{box}><p>{BODY}</p></{box}>'
+    assert X.extract(page, WEIGHTS) == BODY

@@ -5,8 +5,9 @@ linear scan finds the contiguous run with the highest sum.  What a tag costs is
 learned from labelled pages, apart for tags within an article, within a main
 element, of other elements with most of the page's words, and elsewhere: the more often a kind of tag lies outside the main text,
 the more it costs.  Elements that never hold main text (scripts, menus,
-forms, and what their class or id calls an advert, a notice, a comment, ...)
-are left out before the scan, wherever they are.
+forms, and what a whole word of their class or id calls an advert, a notice, a
+comment, ...) are left out before the scan, wherever they are, unless such a
+class or id is on an element with most of the page's words.
 
 Inside the run, block elements separate blocks; character references are
 decoded, white space in a block becomes one space, blocks are joined by line
@@ -21,6 +22,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import re
@@ -43,21 +45,64 @@ AWAY = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies discussion disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related respond "
     "replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget alert consent gdpr legal disclaimer skip toc".split()
 )
+#: Words beside them that only say where such an element is or how it looks.
+SHAPES = frozenset("area bar block bottom box btn button container holder items left list outer panel region right section slot small top unit wrap wrapper".split())
+#: Those that name what readers reply, and those that a part of a text may be about; the parts, and their headings, that have ids for links to them.
+REPLIES = frozenset("comment comments discussion disqus replies respond".split())
+SUBJECTS = frozenset("ad ads adv advert adverts advertisement advertising alert banner consent cookie cookies disclaimer discussion form gdpr header legal login menu navigation newsletter notice notices promo related replies respond search share sharing signup skip social sponsor sponsored subscribe widget".split())
+PARTS = frozenset("a b blockquote code dd dl dt em figure h1 h2 h3 h4 h5 h6 i li ol p pre section span strong table td th tr ul".split())
 
 #: Words that a unit of log odds against a tag costs, and what every tag costs at least.
 SCALE, LEAST = 6.0, 0.05
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*+)(?:>|\Z)""", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
-def _away(name: str, attributes: str) -> bool:
+def _away(name: str, attributes: str) -> str | None:
+    """Why an element isn't main text: "always", "named", or "replies", which may be longer than what they reply to; None if it may be."""
     if name in NEVER:
-        return True
+        return "always"
     if "=" not in attributes or name in ("html", "body", "article", "main"):
-        return False
-    return any(part.lower() in AWAY for found in _NAMED.findall(attributes) for part in _PART.findall("".join(found)))
+        return None
+    for m in _NAMED.finditer(attributes):
+        for token in (m[2] or m[3] or m[4] or "").split():
+            parts = {x.lower() for x in _PART.findall(token) if not x.isdigit()}
+            own = parts & AWAY
+            # The whole token names what the element is; the id of a part of a text, or of its heading, names its subject.
+            if own and parts <= AWAY | SHAPES and not (m[1].lower() == "id" and name in PARTS and own <= SUBJECTS):
+                return "replies" if own & REPLIES else "named"
+    return None
+
+
+def _sizes(page: str) -> tuple[list[int], list[int], list[int]]:
+    """Ends of the pieces of text of a page outside of elements that never hold main text, the words so far, and those within article and main."""
+    ends, words, marked = [0], [0], [0]
+    at, never, inside = 0, Counter(), 0
+
+    def add(start: int, stop: int) -> None:
+        n = len(page[start:stop].split())
+        ends.append(stop)
+        words.append(words[-1] + n)
+        marked.append(marked[-1] + (n if inside else 0))
+
+    while m := _TOKEN.search(page, at):
+        if m.start() > at and not any(never.values()):
+            add(at, m.start())
+        at = m.end()
+        slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        name = (name or "").lower()
+        if name in RAW and not slash:
+            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            at = close.start() if close else len(page)
+        elif name in NEVER - RAW - VOID and not (attributes or "").endswith("/"):
+            never[name] = max(0, never[name] + (-1 if slash else 1))
+        elif name in ("article", "main"):
+            inside = max(0, inside + (-1 if slash else 1))
+    if at < len(page):
+        add(at, len(page))
+    return ends, words, marked
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
@@ -65,6 +110,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     at, end = 0, len(page)
     closers: dict[str, list[tuple[int, int]]] = {}
+    sizes: list = []
 
     def past(name: str, start: int) -> int | None:
         """Where the element opened just before ``start`` ends; None if it is never closed."""
@@ -81,6 +127,15 @@ def tokens(page: str) -> list[tuple[str, str]]:
                 return stop
         return None
 
+    def holds_most(start: int, stop: int, why: str) -> bool:
+        """Whether an element holds most of the page's words (of replies, all but a tenth), and no more words of article and main are outside of it."""
+        if not sizes:
+            sizes.extend(_sizes(page))
+        ends, words, marked = sizes
+        a, b = bisect.bisect_right(ends, start) - 1, bisect.bisect_right(ends, stop) - 1
+        own, inner = words[b] - words[a], marked[b] - marked[a]
+        return own > (0.9 if why == "replies" else 0.5) * words[-1] and marked[-1] - inner <= inner
+
     while at < end:
         if not (m := _TOKEN.search(page, at)):
             out.append(("text", page[at:]))
@@ -96,10 +151,13 @@ def tokens(page: str) -> list[tuple[str, str]]:
             out.append(("close", name))
         elif name in VOID or attributes.endswith("/"):
             out.append(("open", name))
-        elif _away(name, attributes or ""):
+        elif why := _away(name, attributes or ""):
             stop = past(name, at)
             if stop is None and name in RAW:
                 stop = end
+            if why != "always" and stop and holds_most(at, stop, why):
+                out.append(("open", name))
+                continue
             out.append(("skip", name))
             at = stop or at
         else:
