@@ -66,3 +66,21 @@ def test_redaction_and_odd_rows(spark):
     assert [got[i].text for i in range(6)] == ["a [SECRET] b", "plain", None, "", "[SECRET] and [SECRET].", "[SECRET]!"]
     assert got[0].n_chars == len("a [SECRET] b") and got[1].n_chars == 5
     assert S.scan(tables.empty(spark)).count() == 0 and S.redact(tables.empty(spark)).count() == 0
+
+
+AWS = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+
+
+def test_a_joined_name_or_path_hides_no_secret(spark):
+    heads = ["AWS_SECRET_ACCESS_KEY=", "some_very_long_name_of_an_environment_variable_for_things=", "path/to/some/module/", "my-service-production-client-credential="]
+    cases = [(h, x, t) for h in heads for x in (AWS, SECRETS[0], SECRETS[3]) for t in ("", "/path/to/module", "-production")]
+    texts = [f"see {h}{x}{t} there" for h, x, t in cases] + [f"{heads[0]}{AWS}/{heads[2]}value={SECRETS[3]}"] + [f"see {h}{x} there" for h in heads for x in PLAIN]
+    docs = tables.documents(spark, texts)
+    got = {r.doc_id: r for r in S.scan(docs).collect()}
+    clean = {r.doc_id: r.text for r in S.redact(docs).collect()}
+    for i, (h, x, t) in enumerate(cases):
+        assert any(a <= 4 + len(h) and 4 + len(h) + len(x) <= b for a, b in (map(int, y.split(":")[1:]) for y in got[i].spans.split(",") if y)), texts[i]
+        assert x not in clean[i] and clean[i].startswith("see ") and clean[i].endswith(" there")
+    assert AWS not in clean[len(cases)] and SECRETS[3] not in clean[len(cases)]
+    for i in range(len(cases) + 1, len(texts)):
+        assert got[i].n_markov == 0, texts[i]

@@ -5,6 +5,9 @@ identifiers, are trained from labelled samples: transitions are counted by
 Spark, and their log-likelihood ratios make one table.  Every run of identifier
 characters in a text is scored by the sum of that table over its transitions;
 a run scored as random, outside what the patterns found, is a span of its own.
+In other runs the parts where the sum rises are scored, so that a name or path
+joined to a secret doesn't hide it; a part found is a span from separator to
+separator.
 
 All of it is Spark expressions: places come from the lengths of matches and of
 the pieces between them, in code points.  A row needs only itself, so nothing
@@ -36,6 +39,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Runs of such characters that are scored, and the log-likelihood ratio (in all, and for each transition) from which they are secrets.
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 LEAST, LEAST_EACH = 12.0, 0.4
+#: Characters of a part that is scored, at least, and how far below its highest sum it goes on.
+PART, DROP = 16, 8.0
 
 #: Share of a uniform distribution in every estimate.
 UNIFORM = 0.25
@@ -116,6 +121,54 @@ def log_ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(codes, start, step)["sum"]
 
 
+def random_parts(said: Column, table: list[float]) -> Column:
+    """start and end of the parts of a run that are scored as random: all of it, or what lies between separators around each rise of the running sum."""
+    size = len(ALPHABET) + 1
+    values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
+    codes = F.transform(F.regexp_extract_all(said, F.lit("(?s)."), F.lit(0)), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
+    equals = ALPHABET.index("=") + 1
+    # Of each character but the first: its transition's value, and whether it is the first after signs of equality.
+    steps = F.zip_with(codes, F.slice(codes, F.lit(2), F.length(said)), lambda a, b: F.struct(F.get(values, (a * size + b).cast("int")).alias("r"), ((a == equals) & (b != equals)).alias("fresh")))
+    part = "struct<start:int,end:int>"
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("all"), F.lit(0).alias("start"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("end"), F.array().cast(f"array<{part}>").alias("out"))
+
+    def with_best(s):
+        good = (s["best"] >= LEAST) & (s["best"] >= LEAST_EACH * (s["end"] - s["start"])) & (s["end"] - s["start"] >= PART - 1)
+        return F.when(good, F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), (s["end"] + 1).alias("end"))))).otherwise(s["out"])
+
+    def step(s, x):
+        i, total = s["i"] + 1, s["sum"] + x["r"]
+        ends = (total <= 0) | (total < s["best"] - DROP) | x["fresh"]
+        more = total > s["best"]
+        kept = lambda name, cut, go: F.when(ends, cut).otherwise(go).alias(name)
+        return F.when(x["r"].isNull(), s).otherwise(
+            F.struct(
+                i.alias("i"), (s["all"] + x["r"]).alias("all"), kept("start", i, s["start"]), kept("sum", F.lit(0.0), total),
+                kept("best", F.lit(0.0), F.greatest(total, s["best"])), kept("end", i, F.when(more, i).otherwise(s["end"])), kept("out", with_best(s), s["out"]),
+            )
+        )
+
+    def widened(x):
+        own = F.substring(said, x["start"] + 1, F.length(said))
+        cut = F.length(F.regexp_extract(own, "^[=/_-]*", 0))
+        before = F.when(cut > 0, -cut).otherwise(F.length(F.regexp_extract(F.substring(said, F.lit(1), x["start"]), "[^=/_-]*$", 0)))
+        after = F.length(F.regexp_extract(F.substring(said, x["end"] + 1, F.length(said)), "^[^=/_-]*=*", 0))
+        return F.struct((x["start"] - before).alias("start"), (x["end"] + after).alias("end"))
+
+    def join(out, x):
+        last = F.try_element_at(out, F.lit(-1))
+        meet = (F.size(out) > 0) & (x["start"] <= last["end"])
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(meet, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(both))).otherwise(F.concat(out, F.array(x)))
+
+    def finish(s):
+        whole = (s["all"] >= LEAST) & (s["all"] >= LEAST_EACH * (F.length(said) - 1))
+        parts = F.aggregate(F.transform(with_best(s), widened), F.array().cast(f"array<{part}>"), join)
+        return F.when(whole, F.array(F.struct(F.lit(0).alias("start"), F.length(said).alias("end")))).otherwise(parts)
+
+    return F.aggregate(steps, zero, step, finish)
+
+
 def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     """start, place of the kind, end, of each match that ``keep`` accepts; the pieces between matches give the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -148,11 +201,8 @@ def with_spans(documents: DataFrame, table: list[float]) -> DataFrame:
     plain = lambda xs: F.array_sort(F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     rows = rows.withColumn("base_spans_", plain(F.concat(*parts)))
 
-    def random(said: Column) -> Column:
-        score = log_ratio(said, table)
-        return (score >= LEAST) & (score >= LEAST_EACH * (F.length(said) - 1))
-
-    more = _spans(text, RUN, "markov", random)
+    found = lambda m: F.transform(random_parts(m["said"], table), lambda x: F.struct((m["start"] + x["start"]).alias("start"), m["kind"].alias("kind"), (m["start"] + x["end"]).alias("end")))
+    more = F.flatten(F.transform(_spans(text, RUN, "markov", _always), found))
     more = F.filter(more, lambda x: ~F.exists("base_spans_", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return rows.withColumn("more_", more).withColumn("spans_", F.array_sort(F.concat("base_spans_", plain(F.col("more_"))))).drop("more_", "text_")
 
