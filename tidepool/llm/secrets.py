@@ -193,6 +193,19 @@ def _value_is_long(said: Column) -> Column:
     return F.length(F.regexp_extract(said, ASSIGN, 2)) >= 6
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """The text with a blank for each character of ordered spans, so that runs end there and places stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s, x):
+        start = F.greatest(s["at"], x["start"])
+        end = F.greatest(s["at"], x["end"])
+        said = F.concat(s["out"], text.substr(s["at"] + 1, start - s["at"]), F.repeat(F.lit(" "), end - start))
+        return F.struct(end.alias("at"), said.alias("out"))
+
+    return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+
+
 def with_spans(documents: DataFrame, table: list[float]) -> DataFrame:
     """Adds base_spans_ and spans_: arrays of start, kind, end, ordered by start and kind."""
     text = F.col("text_")
@@ -202,9 +215,10 @@ def with_spans(documents: DataFrame, table: list[float]) -> DataFrame:
     rows = rows.withColumn("base_spans_", plain(F.concat(*parts)))
 
     found = lambda m: F.transform(random_parts(m["said"], table), lambda x: F.struct((m["start"] + x["start"]).alias("start"), m["kind"].alias("kind"), (m["start"] + x["end"]).alias("end")))
-    more = F.flatten(F.transform(_spans(text, RUN, "markov", _always), found))
-    more = F.filter(more, lambda x: ~F.exists("base_spans_", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return rows.withColumn("more_", more).withColumn("spans_", F.array_sort(F.concat("base_spans_", plain(F.col("more_"))))).drop("more_", "text_")
+    rest = F.when(F.size("base_spans_") > 0, _without(text, F.col("base_spans_"))).otherwise(text)
+    rows = rows.withColumn("rest_", rest)
+    more = F.flatten(F.transform(_spans(F.col("rest_"), RUN, "markov", _always), found))
+    return rows.withColumn("more_", more).withColumn("spans_", F.array_sort(F.concat("base_spans_", plain(F.col("more_"))))).drop("more_", "rest_", "text_")
 
 
 def _said(spans: str) -> Column:
