@@ -99,3 +99,16 @@ def test_filters_return_every_language_of_an_n_gram():
     assert all(m & 1 for m in model.masks(a).tolist()) and all(m & 2 for m in model.masks(b).tolist())
     assert all(m == 3 for m in model.masks(a[:3]).tolist())
     assert np.mean([m == 0 for m in model.masks(L.grams("zzzz qqqq xxxx jjjj")).tolist()]) > 0.9
+
+
+def test_all_languages_are_learned(spark):
+    import random
+
+    rng = random.Random(4)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(130)}
+    rows = [(x, " ".join(rng.sample(words[x], 8))) for x in words for _ in range(8 if x < "l070" else 4)]
+    docs = spark.createDataFrame([(i, t, x, "s", 0) for i, (x, t) in enumerate(rows)], tables.DOCS)
+    got = {r.doc_id: r for r in L.identify(docs).collect()}
+    learned = {x for i, (x, _) in enumerate(rows) if not got[i].held_out}
+    assert len(learned) > 128
+    assert all(got[i].lang_pred == x for i, (x, _) in enumerate(rows) if x in learned)

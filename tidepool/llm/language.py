@@ -1,7 +1,8 @@
 """Language identification with language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter over the n-grams of all languages: slot s holds one
-machine word whose bit l says that some n-gram of language l hashed there.  One
+A bit-sliced Bloom filter over the n-grams of all languages: slot s holds
+one bit for each language, in as many machine words as they need, that says that
+some n-gram of language l hashed there.  One
 lookup ANDs an n-gram's slots and so returns every language that may have it;
 per-language popcounts over a text, corrected for each language's false
 positives, decide.
@@ -9,7 +10,7 @@ positives, decide.
 It learns the n-grams of a bounded sample of labelled rows: for each language
 the ``sample`` rows with the smallest hash of their number, and of those the
 first ``sample_chars`` characters; scoring reads whole texts.  The filter has a
-fixed size.  Up to 63 languages, the most frequent ones, are learned.
+fixed size for each 64 languages, and all languages are learned.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 ties go to the language with more training rows, then in alphabetical order;
@@ -36,7 +37,6 @@ SAMPLE, SAMPLE_CHARS = 800, 8000
 GRAMS, N = 12000, 4
 #: Slots of the filter as a power of two, and lookups for each n-gram.
 BITS, LOOKUPS = 18, 3
-MAX_LANGUAGES = 63
 #: Parts in which the rows of a language are ranked.
 PARTS = 256
 
@@ -91,25 +91,25 @@ class Filters:
 
     def __init__(self, counts: dict[str, tuple[int, Counter]], size: int = GRAMS):
         """counts: for each language its training rows and how often each n-gram occurs."""
-        first = sorted(counts, key=lambda x: (-counts[x][0], x))[:MAX_LANGUAGES]
+        first = sorted(counts, key=lambda x: (-counts[x][0], x))
         self.languages = first
-        self.slots = np.zeros(1 << BITS, dtype=np.uint64)
+        self.slots = np.zeros((max(1, -(-len(first) // 64)), 1 << BITS), dtype=np.uint64)
         for bit, lang in enumerate(first):
             own = counts[lang][1]
             keys = np.array(sorted(own, key=lambda g: (-own[g], g))[:size], dtype=np.uint64)
             for at in self._places(keys):
-                np.bitwise_or.at(self.slots, at, np.uint64(1 << bit))
-        self.false = np.array([float(np.mean(self.slots >> np.uint64(b) & np.uint64(1))) ** LOOKUPS for b in range(len(first))])
+                np.bitwise_or.at(self.slots[bit // 64], at, np.uint64(1 << bit % 64))
+        self.false = np.array([float(np.mean(self.slots[b // 64] >> np.uint64(b % 64) & np.uint64(1))) ** LOOKUPS for b in range(len(first))])
 
     @staticmethod
     def _places(keys: np.ndarray) -> list[np.ndarray]:
         return [keys >> np.uint64(64 - BITS - 15 * i) & np.uint64((1 << BITS) - 1) for i in range(LOOKUPS)]
 
-    def masks(self, keys: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that may have it, as bits."""
+    def masks(self, keys: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram those of 64 languages that may have it, as bits."""
         out = None
         for at in self._places(keys):
-            out = self.slots[at] if out is None else out & self.slots[at]
+            out = self.slots[word][at] if out is None else out & self.slots[word][at]
         return out
 
     def decide(self, text: str | None) -> tuple[str, float]:
@@ -117,10 +117,12 @@ class Filters:
             return "und", 0.0
         hits, n = np.zeros(len(self.languages)), 0
         for at in range(0, len(text), _BLOCK):  # whole texts, a block at a time; n-1 characters are read again
-            masks = self.masks(grams(text[max(0, at - N + 1) : at + _BLOCK]))
-            n += len(masks)
-            for b in range(len(self.languages)):
-                hits[b] += np.count_nonzero(masks & np.uint64(1 << b))
+            keys = grams(text[max(0, at - N + 1) : at + _BLOCK])
+            n += len(keys)
+            for word in range(len(self.slots)):
+                masks = self.masks(keys, word)
+                for b in range(64 * word, min(64 * word + 64, len(self.languages))):
+                    hits[b] += np.count_nonzero(masks & np.uint64(1 << b % 64))
         true = np.maximum(0, (hits - self.false * n) / (1 - np.minimum(self.false, 0.99)))
         if true.sum() <= 0:
             return self.languages[0], 0.0
@@ -138,8 +140,8 @@ def fit(documents: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_C
     for keys in (("lang", "part"), ("lang",)):
         order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
         chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    chosen = chosen.where(F.col("lang").isin(list(totals))).select(F.col("doc_id").alias("id"), F.col("lang").alias("in_lang"))
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("in_lang"))
     rows = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("in_lang")), "left_semi")
 
     def count(batches):
