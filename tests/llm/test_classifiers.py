@@ -112,3 +112,12 @@ def test_all_languages_are_learned(spark):
     learned = {x for i, (x, _) in enumerate(rows) if not got[i].held_out}
     assert len(learned) > 128
     assert all(got[i].lang_pred == x for i, (x, _) in enumerate(rows) if x in learned)
+
+
+def test_whole_texts_are_learned(spark):
+    """What is only behind a long common header is known."""
+    header = "permission is granted to copy this header " * 250
+    rows = [("en", header + "the words of this one here " * 20)] * 9 + [("de", header + "das sind einige wörter von hier " * 20)] * 9 + [(None, "das sind einige wörter von hier"), (None, "the words of this one here")]
+    docs = spark.createDataFrame([(i, t, x, "s", 0) for i, (x, t) in enumerate(rows)], tables.DOCS)
+    got = {r.doc_id: r for r in L.identify(docs).collect()}
+    assert [got[i].lang_pred for i in (18, 19)] == ["de", "en"] and min(got[18].score, got[19].score) > 0.7

@@ -8,8 +8,8 @@ per-language popcounts over a text, corrected for each language's false
 positives, decide.
 
 It learns the n-grams of a bounded sample of labelled rows: for each language
-the ``sample`` rows with the smallest hash of their number, and of those the
-first ``sample_chars`` characters; scoring reads whole texts.  The filter has a
+the ``sample`` rows with the smallest hash of their number; learning and scoring
+read whole texts.  The filter has a
 fixed size for each 64 languages, and all languages are learned.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
@@ -31,8 +31,8 @@ from . import words as W
 from .cluster import pick
 from .quality import held_out
 
-#: Training rows a language at most, and characters of each that are learned from.
-SAMPLE, SAMPLE_CHARS = 800, 8000
+#: Training rows a language at most.
+SAMPLE = 800
 #: n-grams a language at most, most frequent first, and letters in an n-gram.
 GRAMS, N = 12000, 4
 #: Slots of the filter as a power of two, and lookups for each n-gram.
@@ -131,7 +131,7 @@ class Filters:
         return self.languages[best], float(true[best] / (true[best] + (rest.max() if len(rest) else 0)))
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, size: int = GRAMS) -> Filters:
+def fit(documents: DataFrame, sample: int = SAMPLE, size: int = GRAMS) -> Filters:
     """Learns from rows with a language that aren't held out."""
     docs = pick(documents, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
@@ -148,12 +148,14 @@ def fit(documents: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_C
         own: dict[str, Counter] = {}
         for batch in W.slices(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, n = np.unique(grams(text or ""), return_counts=True)
-                own.setdefault(lang, Counter()).update(dict(zip(keys.tolist(), n.tolist())))
+                counter = own.setdefault(lang, Counter())
+                for at in range(0, len(text or ""), _BLOCK):  # a block at a time, as in scoring
+                    keys, n = np.unique(grams(text[max(0, at - N + 1) : at + _BLOCK]), return_counts=True)
+                    counter.update(dict(zip(keys.tolist(), n.tolist())))
         out = [(lang, g - (1 << 63), n) for lang, c in own.items() for g, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["lang", "gram", "n"])
 
-    counted = rows.select("lang", F.substring("text", 1, sample_chars).alias("text")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     counts: dict[str, tuple[int, Counter]] = {x: (n, Counter()) for x, n in totals.items()}
     for r in best.collect():  # at most size n-grams a language
