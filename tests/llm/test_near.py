@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from tests.llm import tables
-from tidepool.llm import dart, fingerprint, graphs, near
+from tidepool.llm import cluster, dart, fingerprint, graphs, near
 
 
 def brute(rows, threshold=0.8):
@@ -141,3 +141,56 @@ def test_likeness_is_near_the_true_similarity():
         x, y = fingerprint.fingerprints([base, other])
         errors.append(abs(fingerprint.likeness(x, y) - near.jaccard(a, b)))
     assert sum(errors) / len(errors) < 0.06
+
+
+def family(rng, sizes=(40, 300)):
+    """Texts from a few templates, edited, cut and lengthened by every degree, many a little below or above 0.8 alike."""
+    out = []
+    for _ in range(4):
+        base = tables.sentences(rng, rng.randint(*sizes), 400)
+        for _ in range(35):
+            w = copies(rng, base, 1, rng.randint(0, len(base.split()) // 20))[0].split()
+            cut = rng.randint(0, len(w) // 8)
+            out.append(" ".join(w[cut:] if rng.random() < 0.4 else w + rng.choices(tables.WORDS, k=cut) if rng.random() < 0.4 else w))
+    return out
+
+
+def test_candidates_lose_no_pair(spark):
+    rng = random.Random(21)
+    for threshold in (0.8, 0.6):
+        t = family(rng) + ["one two", "one two", "a b c d e f"]
+        sets = near.shingle_sets([x.encode() for x in t])
+        nodes = spark.createDataFrame([(i, i // 3, len(s)) for i, s in enumerate(sets)], "node long, root long, n long")
+        got = {(r.hub, r.node) for r in near._candidates(nodes, spark.createDataFrame(list(enumerate(t)), "node long, text string"), 5, threshold).collect()}
+        want = {(a, b) for a, b in itertools.combinations(range(len(t)), 2) if a // 3 != b // 3 and near.jaccard(sets[a], sets[b]) >= threshold}
+        assert want and want <= got
+        assert all(a // 3 != b // 3 for a, b in got) and len(got) < 4 * len(want)
+
+
+def test_families_around_the_threshold(spark):
+    rng = random.Random(22)
+    t = family(rng)
+    assert {r.doc_id: r.class_id for r in near.classes(tables.documents(spark, t), dart.signer).collect()} == brute(tables.rows(t))
+
+
+def test_small_tables_are_no_different_case(spark, monkeypatch):
+    rng = random.Random(23)
+    docs = tables.documents(spark, family(rng)[:70])
+    one = sorted(near.classes(docs, dart.signer).collect())
+    monkeypatch.setattr(cluster, "SMALL_ROWS", 0)
+    assert sorted(near.classes(docs, dart.signer).collect()) == one
+
+
+def test_recall_of_the_bands():
+    """The share of pairs that share a band: what the bands alone lose."""
+    rng = random.Random(24)
+    for least, most, recall in ((0.8, 0.86, 1.0), (0.9, 1.0, 1.0), (0.68, 0.72, 0.9)):
+        found = tried = 0
+        while tried < 60:
+            base = tables.sentences(rng, 150, 400)
+            other = copies(rng, base, 1, rng.randint(1, 8))[0]
+            sets = near.shingle_sets([base.encode(), other.encode()])
+            if least <= near.jaccard(*sets) <= most:
+                a, b = dart.signer(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
+                found, tried = found + bool((a == b).any()), tried + 1
+        assert found >= recall * tried, (least, found)
