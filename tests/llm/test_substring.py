@@ -28,7 +28,7 @@ def got(frame):
     return sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in frame.collect())
 
 
-@pytest.mark.parametrize("window,start", [(20, 10), (8, 2), (6, 6), (20, 5)])
+@pytest.mark.parametrize("window,start", [(20, 10), (8, 2), (6, 6), (20, 5), (16, 1)])
 def test_equals_brute_force(spark, window, start):
     rng = random.Random(window)
     passage = tables.sentences(rng, 60)

@@ -7,7 +7,7 @@ words; where no candidate survives, later levels send nothing.
 
 At the first length it is enough to count the windows with the smallest hash
 among those of a ``window``-word passage: equal passages have equal smallest
-windows, so none is missed, and one window in six is sent instead of all.
+windows, so none is missed, and one window in eight is sent instead of all.
 
 Nothing ever gathers the occurrences of one window.  At each level windows are
 counted with partial sums before the shuffle, and what goes back to a document
@@ -15,6 +15,9 @@ are the windows that occur once (or, at the last level, first): each belongs to
 one document, so the way back has no hot key, however common a passage is.  A
 document's candidates are its windows less those.
 
+Passages are told apart by 96 bits: a hash of their words' hashes, and half of one
+made from other values for every byte.
+
 Documents are put beside these lists by document, in a hash shuffle of texts;
 texts that equal an earlier one take no part in the levels, since all their
 windows start earlier.
@@ -37,7 +40,7 @@ from . import words as W
 from .cluster import pick, release, settle
 
 #: Words in a repeated passage, and the length at which counting starts.
-WINDOW, START = 20, 10
+WINDOW, START = 20, 5
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -138,7 +141,7 @@ def _level(joined: DataFrame, start: int, window: int, length: int, firsts: bool
                     p = np.setdiff1d(p, np.asarray(gone[i], dtype=np.int64), assume_unique=True)
                 if not len(p):
                     continue
-                one, two = W.windows(h, length)[p], W.windows(h, length, _SECOND)[p]
+                one, two = W.windows(h, length)[p], W.windows(W.hash_words(text, W.OTHER)[0], length, _SECOND)[p]
                 one, at, n = np.unique(one, return_index=True, return_counts=True)  # at: the earliest place in this document
                 many = np.minimum(n, 2).astype(np.int32)
                 rows = pa.array(np.full(len(one), i))

@@ -34,6 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _T = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))
+#: A second value for each byte, for hashes that are independent of the first.
+OTHER = mix(np.arange(513, 769, dtype=np.uint64) * np.uint64(_R))
 
 #: Separators of plain words: space and the ASCII control blanks 9 to 13.
 BLANKS = np.zeros(256, dtype=bool)
@@ -66,7 +68,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_block(data: np.ndarray, values: np.ndarray = _T) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blank = np.ones(len(data) + 2, dtype=np.int8)
     blank[1:-1] = BLANKS[data]
     edges = np.flatnonzero(np.diff(blank))
@@ -76,20 +78,20 @@ def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = _power_table(len(data))
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_T[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(data: bytes, values: np.ndarray = _T) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends (byte offsets) of the words of one text; memory beyond the result is bounded by BLOCK and the longest word."""
     if len(data) <= 2 * BLOCK:
-        return _hash_block(np.frombuffer(data, dtype=np.uint8))
+        return _hash_block(np.frombuffer(data, dtype=np.uint8), values)
     parts, at = [], 0
     while at < len(data):
         end = at + BLOCK
         while end < len(data) and not BLANKS[data[end]]:
             end += 1
-        h, s, e = _hash_block(np.frombuffer(data[at:end], dtype=np.uint8))
+        h, s, e = _hash_block(np.frombuffer(data[at:end], dtype=np.uint8), values)
         parts.append((h, s + at, e + at))
         at = end
     return tuple(np.concatenate(x) for x in zip(*parts))
