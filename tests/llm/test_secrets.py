@@ -97,3 +97,52 @@ def test_what_a_base_span_leaves_of_a_run_is_scored(spark):
         assert clean[i].startswith("é🙂 see ") and clean[i].endswith(" there")
         assert not any(y in clean[i] for y in (known, AWS, SECRETS[0], SECRETS[3]))
     assert all(got[i].n_markov == 0 for i in range(len(cases), len(cases) + len(PLAIN)))
+
+
+def test_long_texts_cost_their_length(spark):
+    import time
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    texts = [" ".join(word(rng.randint(20, 40)) for _ in range(65_000)), "password = abcdef1 token\n" * 40_000, SECRETS[0] * 20_000, "x" * 2_000_000]
+    assert len(texts[0]) > 1_900_000
+    docs = tables.documents(spark, texts[:1], clashing=False)
+    S.scan(tables.documents(spark, ["warm up"]), [0.0] * 4489).collect()
+    start = time.time()
+    r = S.scan(docs, S.train(S.labelled_samples(spark, 200))).collect()[0]
+    assert time.time() - start < 10
+    assert r.n_hex == len(re.findall("[0-9a-f]{24,}", texts[0]))
+    for i, r in enumerate(sorted(S.scan(tables.documents(spark, texts[1:])).collect())):
+        want = base(texts[1 + i])
+        assert r.base_sha256 == hashlib.sha256(said(want).encode()).hexdigest()
+    clean = S.redact(docs).collect()[0]
+    assert not re.search("[0-9a-f]{24,}", clean.text) and clean.n_chars == len(clean.text)
+
+
+def test_blocks_end_where_no_match_goes_on(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", S.BLOCK.replace("2048", "3"))
+    test_base_spans_equal_brute_force(spark)
+    test_a_joined_name_or_path_hides_no_secret(spark)
+    test_redaction_and_odd_rows(spark)
+
+
+def test_planted_secrets_in_whole_documents(spark):
+    """Secrets that no pattern names, in prose: all are found, and nothing else is."""
+    import base64
+
+    rng = random.Random(13)
+    texts, planted = [], []
+    for _ in range(150):
+        w = tables.sentences(rng, rng.randint(30, 900), 400).split()
+        w += rng.choices(PLAIN, k=3)
+        key = base64.b64encode(rng.randbytes(rng.randint(18, 36))).decode().rstrip("=")
+        at = rng.randrange(len(w))
+        texts.append(" ".join([*w[:at], key, *w[at:]]))
+        planted.append((len(" ".join(w[:at])) + (at > 0), key))
+    found = wrong = 0
+    for r in S.scan(tables.documents(spark, texts)).collect():
+        at, key = planted[r.doc_id]
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("markov")]
+        found += any(a <= at + 2 and b >= at + len(key) - 2 for a, b in spans)
+        wrong += sum(b <= at or a >= at + len(key) for a, b in spans)
+    assert found >= 0.95 * len(texts) and wrong <= 0.02 * len(texts), (found, wrong)

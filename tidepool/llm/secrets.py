@@ -11,7 +11,9 @@ separator.
 
 All of it is Spark expressions: places come from the lengths of matches and of
 the pieces between them, in code points.  A row needs only itself, so nothing
-is shuffled.
+is shuffled.  A text is worked on in blocks that end where no match can go on,
+so the cost of a long text follows its length; only a text that gives no such
+place for long has long blocks.
 
 Defined results: a null text is empty and has no spans; overlapping spans of
 different kinds all stay; repeated rows each get their result; an empty table
@@ -42,6 +44,9 @@ LEAST, LEAST_EACH = 12.0, 0.4
 #: Characters of a part that is scored, at least, and how far below its highest sum it goes on.
 PART, DROP = 16, 8.0
 
+#: Blocks of some thousand characters, up to one that no match holds: one that is in no pattern, or a space that follows neither the last letter of a name, a quote, a sign nor a space.
+BLOCK = r"""(?s).{2048,}?(?:[^A-Za-z0-9+/_.=\-"':\x20]|(?<=[^dDtTnNyY"':=\x20])\x20)|.+"""
+
 #: Share of a uniform distribution in every estimate.
 UNIFORM = 0.25
 
@@ -206,19 +211,42 @@ def _without(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _plain(spans: Column) -> Column:
+    return F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+
+
+def _found(text: Column, table: list[float]) -> Column:
+    """base and all: the spans of one block of text, ordered by start and kind."""
+    parts = F.concat(_spans(text, ASSIGN, "assign", _value_is_long), _spans(text, ACCESS, "access", _always), _spans(text, HEX, "hex", _always))
+    parts_of = lambda m: F.transform(random_parts(m["said"], table), lambda x: F.struct((m["start"] + x["start"]).alias("start"), m["kind"].alias("kind"), (m["start"] + x["end"]).alias("end")))
+
+    def with_more(base):
+        rest = F.when(F.size(base) > 0, _without(text, base)).otherwise(text)
+        more = F.flatten(F.transform(_let(rest, lambda t: _spans(t, RUN, "markov", _always)), parts_of))
+        return F.struct(base.alias("base"), F.array_sort(F.concat(base, _plain(more))).alias("all"))
+
+    return _let(_plain(parts), with_more)
+
+
 def with_spans(documents: DataFrame, table: list[float]) -> DataFrame:
-    """Adds base_spans_ and spans_: arrays of start, kind, end, ordered by start and kind."""
-    text = F.col("text_")
-    rows = documents.withColumn("text_", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    parts = [_spans(text, ASSIGN, "assign", _value_is_long), _spans(text, ACCESS, "access", _always), _spans(text, HEX, "hex", _always)]
-    plain = lambda xs: F.array_sort(F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    rows = rows.withColumn("base_spans_", plain(F.concat(*parts)))
+    """Adds blocks_: for each block of the text what it says, its number of characters, and its spans base and all."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    one = lambda said: _let(_found(said, table), lambda x: F.struct(said.alias("said"), F.length(said).alias("n"), x["base"].alias("base"), x["all"].alias("all")))
+    return documents.withColumn("blocks_", F.transform(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)), one))
+
 
-    found = lambda m: F.transform(random_parts(m["said"], table), lambda x: F.struct((m["start"] + x["start"]).alias("start"), m["kind"].alias("kind"), (m["start"] + x["end"]).alias("end")))
-    rest = F.when(F.size("base_spans_") > 0, _without(text, F.col("base_spans_"))).otherwise(text)
-    rows = rows.withColumn("rest_", rest)
-    more = F.flatten(F.transform(_spans(F.col("rest_"), RUN, "markov", _always), found))
-    return rows.withColumn("more_", more).withColumn("spans_", F.array_sort(F.concat("base_spans_", plain(F.col("more_"))))).drop("more_", "rest_", "text_")
+def _placed(which: str) -> Column:
+    """The spans of all blocks, with places in the whole text."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    starts = F.aggregate("blocks_", zero, add)["out"]
+    shift = lambda b, at: F.transform(b[which], lambda x: F.struct((x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["end"] + at).alias("end")))
+    return F.flatten(F.zip_with("blocks_", starts, shift))
 
 
 def _said(spans: str) -> Column:
@@ -231,7 +259,7 @@ def scan(documents: DataFrame, table: list[float] | None = None) -> DataFrame:
     table = table or train(labelled_samples(documents.sparkSession))
     docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     count = lambda spans, kind: F.size(F.filter(spans, lambda x: x["kind"] == KINDS.index(kind))).cast("long")
-    rows = with_spans(docs, table)
+    rows = with_spans(docs, table).select("doc_id", _placed("base").alias("base_spans_"), _placed("all").alias("spans_"))
     return rows.select("doc_id", *[count("base_spans_", k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(_said("base_spans_"), 256).alias("base_sha256"), _said("spans_").alias("spans"), count("spans_", "markov").alias("n_markov"))
 
 
@@ -240,16 +268,20 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", table: list[float] | No
     table = table or train(labelled_samples(documents.sparkSession))
     # The columns travel as one, whatever they are called.
     rows = with_spans(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text").cast("string").alias("text")), table)
-    text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s, x):
-        fresh = (x["start"] >= s["at"]) & ((x["start"] > 0) | (s["at"] == 0))
-        said = F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, said).otherwise(s["out"]).alias("out"))
+    def clean(block):
+        text = block["said"]
+
+        def step(s, x):
+            fresh = (x["start"] >= s["at"]) & ((x["start"] > 0) | (s["at"] == 0))
+            said = F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
+            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, said).otherwise(s["out"]).alias("out"))
+
+        return F.when(F.size(block["all"]) > 0, F.aggregate(block["all"], zero, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))).otherwise(text)
 
-    clean = F.aggregate("spans_", zero, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-    rows = rows.select("row", (F.size("spans_") > 0).alias("found"), F.when(F.size("spans_") > 0, clean).alias("clean"))
+    found = F.exists("blocks_", lambda b: F.size(b["all"]) > 0)
+    rows = rows.select("row", found.alias("found"), F.when(found, F.array_join(F.transform("blocks_", clean), "")).alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.length("clean")}
     fields = []
     for f in documents.schema:
