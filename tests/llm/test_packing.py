@@ -16,17 +16,18 @@ def expected(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
-ODD = ["", " ", "don't STOP it's", "<|endoftext|> a", "a\x1cb\x1f c", "x\x85y\xa0z w", "ΑΣ ΣΑΣ Σ", "İstanbul ıI", "é ÅÅ", "日本語 テスト🙂", "12 3.4½²", "ǅǄ ǆ", "à́ ᾳ", "_a_b__", "naïve cafés ÀÉ", "ﬁn ­ x", "##'s 's'S"]
+ODD = ["", " ", "don't STOP it's", "<|endoftext|> a", "x<|endoftext|>y", "<|startoftext|><|startoftext|>", "A<|STARTOFTEXT|> <|endoftext|", "é<|endoftext|>日本", "a <|startoftext|> b<|endoftext|>\x1c", "a\x1cb\x1f c", "x\x85y\xa0z w", "ΑΣ ΣΑΣ Σ", "İstanbul ıI", "é ÅÅ", "日本語 テスト🙂", "12 3.4½²", "ǅǄ ǆ", "à́ ᾳ", "_a_b__", "naïve cafés ÀÉ", "ﬁn ­ x", "##'s 's'S"]
 
 
 def test_ids_equal_the_tokenizer_s(monkeypatch):
     rng = random.Random(1)
     alphabet = [chr(c) for c in range(9, 0x300)] + list("'''sstlmre  \n日🙂ß") + ["́", " "]
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", " ", "é", "Wo", "'s", "1"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(500)]
     t = P.Tokens(PATH)
     for x, ids in zip(texts, expected(texts)):
         assert t.encode(x) == np.array(ids, dtype="<u4").tobytes(), ascii(x)

@@ -70,14 +70,15 @@ class Tokens(dict):
 
     White space and pieces of words never share a token, so a word not seen
     before is cut into pieces, and only a piece not seen before meets the
-    model's merges.  A word with rarer letters is left to the tokenizer whole.
+    model's merges.  A word with rarer letters, or with one of the tokenizer's
+    special tokens in it, is left to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.model = self.tokenizer.model
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.old: dict[str, bytes] = {}
@@ -103,7 +104,7 @@ class Tokens(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self._whole(word) if _PLAIN.search(word) else b"".join(map(self._piece, _PIECE.findall(word.lower())))
+            ids = self._whole(word) if _PLAIN.search(word) or self.special.search(word) else b"".join(map(self._piece, _PIECE.findall(word.lower())))
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:  # words in use come back from the old ones
                 self.old = dict(self)
