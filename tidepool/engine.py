@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 
 from .errors import Closed, MutationError, UnsupportedOps
 from .operators import deltas, view
-from .operators.incremental import LiveList
+from .operators.incremental import LiveList, bytes_of
 from .plans import ir, lower
 from .plans.compile import Compiled, compile_query
 from .schema import Catalog, Table
@@ -81,14 +80,17 @@ class Engine:
         self.spark, self.catalog, self.nested = spark, catalog, nested
         self.store = SnapshotStore(spark, catalog, path)
         self.tables = _Tables(self.store)
-        self.version = 0
         self._mutations = self._events = 0
         self._numbers = 0
         self._subscriptions: dict[int, Subscription] = {}
         self._sink: Callable[[view.ViewDelta], None] | None = None
-        self._done: set[tuple[str, int]] = set()
         self._closed = False
 
+    @property
+    def version(self) -> int:
+        """Transactions so far, also those before the database was opened again."""
+        return self.store.database_version
+
     # -- queries
 
     def query(self, query: ir.Query) -> DataFrame:
@@ -115,15 +117,14 @@ class Engine:
         """Applies operations in their order, all or none, and returns the version.
 
         Later operations see what earlier ones did.  mutation_id: of a client and
-        a number; one that has been applied is not applied again.
+        a number; one that has been applied is not applied again, also when the
+        database has been opened anew since.
         """
         self._open()
-        if mutation_id is not None and mutation_id in self._done:
+        if mutation_id is not None and self.store.has_applied(mutation_id):
             return self.version
         batches = self._resolve(ops)
-        version = self._advance(batches)
-        if mutation_id is not None:
-            self._done.add(mutation_id)
+        version = self._advance(batches, mutation_id)
         self._mutations += 1
         return version
 
@@ -175,17 +176,17 @@ class Engine:
                     raise MutationError(f"values don't fit the columns of {name!r}: {e}") from e
         return out
 
-    def apply_changes(self, batches: Mapping[str, DataFrame]) -> int:
-        """Commits composed batches of any size, as a stream brings them, and returns the version."""
+    def apply_changes(self, batches: Mapping[str, DataFrame], stream: tuple[str, int] | None = None) -> int:
+        """Commits composed batches of any size, as a stream brings them, and returns the version; stream: which one, and its micro-batch."""
         self._open()
-        return self._advance(dict(batches))
+        return self._advance(dict(batches), stream=stream)
 
-    def _advance(self, batches: dict[str, DataFrame]) -> int:
+    def _advance(self, batches: dict[str, DataFrame], mutation_id: tuple[str, int] | None = None, stream: tuple[str, int] | None = None) -> int:
+        if not batches and mutation_id is None and stream is None:
+            return self.version
+        self.store.transact(batches, mutation_id, stream)  # the tables first: what is read again must see the batches
         if not batches:
             return self.version
-        for name, batch in batches.items():  # the tables first: what is read again must see the batch
-            self.store.apply(name, batch)
-        self.version += 1
         for s in list(self._subscriptions.values()):
             if not s.live.touched(batches):
                 continue
@@ -203,8 +204,8 @@ class Engine:
         return Stats(
             len(lists),
             sum(len(x.rows) for x in lists),
-            sum(sys.getsizeof(r) + sum(map(sys.getsizeof, r)) for x in lists for _, r in x.rows),
-            sum(sys.getsizeof(r) + sum(map(sys.getsizeof, r)) for x in lists if x.window for r in x.window.rows),
+            sum(bytes_of(r for _, r in x.rows) for x in lists),
+            sum(n for x in lists for _, n in x.state_report()),
             self.version,
             self._mutations,
             self._events,
@@ -215,9 +216,13 @@ class Engine:
         )
 
     def degrade(self) -> int:
-        """Under memory pressure: every list gives up its slack."""
+        """Under memory pressure: every list gives up its slack; how many rows that sheds."""
         return sum(s.live.degrade() for s in self._subscriptions.values())
 
+    def inspect(self) -> dict[int, list[tuple[str, int]]]:
+        """For each subscription its operators, sources first, with the bytes that they hold."""
+        return {n: s.live.state_report() for n, s in self._subscriptions.items()}
+
     def close(self) -> None:
         for s in list(self._subscriptions.values()):
             s.close()
@@ -235,5 +240,3 @@ class Engine:
 
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-
-

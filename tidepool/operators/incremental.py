@@ -14,7 +14,8 @@ unbounded list is evaluated anew and compared.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import sys
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 
 from ..functions import ordering
 from ..functions.values import join_keys
-from ..plans import lower
+from ..plans import ir, lower
 from ..plans.compile import Compiled
 from . import deltas
 
+# How the slack of a window starts and grows.
+
 #: After so many refills the slack doubles.
 REFILLS_PER_GROWTH = 8
 
@@ -39,6 +42,18 @@ def largest_slack(k: int) -> int:
     return max(4 * k, 64)
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """What an operator did when asked to give up state: "stateless", "shed" with the bytes freed, or "pinned" where the answer needs all of it."""
+
+    kind: str
+    freed_bytes: int = 0
+
+
+def bytes_of(rows: Iterable[tuple]) -> int:
+    return sum(sys.getsizeof(r) + sum(map(sys.getsizeof, r)) for r in rows)
+
+
 @dataclass
 class Counters:
     """What the refills of a list have read."""
@@ -171,7 +186,7 @@ class LiveList:
             return {}
         frame = spark.createDataFrame(parents, schema)
         for child in self.query.children:
-            frame = lower.attach(frame, len(parents), child, tables)
+            frame = lower.attach(frame, len(parents), child, tables, [r[child.relation.parent_column] for r in parents])
         found = {r[self.query.table.key]: tuple(r) for r in frame.collect()}
         if self.query.children:
             self.counters.child_refills += 1
@@ -237,6 +252,32 @@ class LiveList:
         """Gives up what can be read again; how many rows that sheds."""
         return self.window.degrade() if self.window else 0
 
+    # -- what it consists of
+
+    def state_report(self) -> list[tuple[str, int]]:
+        """Operators, sources first, with the bytes that each holds."""
+        query, out = self.query, [(f"source {self.query.table.name}", 0)]
+        if not isinstance(query.where, ir.Always):
+            out.append(("filter", 0))
+        out.append(("top k", bytes_of(self.window.rows)) if self.window else ("requery", bytes_of(r for _, r in self.rows)))
+        width = len(query.select or query.table.columns)
+        for i, child in enumerate(query.children):
+            out += [(f"source {child.relation.child}", 0), (f"join {child.name}", sum(bytes_of(r[width + i]) for _, r in self.rows))]
+        return out + ([("project", 0)] if query.select else []) + [("view", 0)]
+
+    def node_names(self) -> list[str]:
+        return [name for name, _ in self.state_report()]
+
+    def degrade_report(self) -> list[tuple[str, Outcome]]:
+        """Gives up what can be read again; what each operator did.  Children and unbounded lists are on screen, so they stay."""
+        before = self.state_report()
+        self.degrade()
+        out = []
+        for (name, had), (_, has) in zip(before, self.state_report()):
+            kind = "shed" if name == "top k" else "pinned" if name == "requery" or name.startswith("join ") else "stateless"
+            out.append((name, Outcome(kind, had - has)))
+        return out
+
     @property
     def state_rows(self) -> int:
         return len(self.window.rows) if self.window else 0
