@@ -496,3 +496,46 @@ def _(spark, sf_dir):
     for number, part in enumerate((changes.where("op = 'D'"), changes.where("op <> 'D'"))):
         feed.apply(part, number)
     return spark.createDataFrame([(r[0], r[2], i) for i, r in enumerate(live.rows, 1)], "o_orderkey long, o_totalprice double, pos int")
+
+
+@_register("nest_clashing_names", f"""SELECT p.c_custkey, p.pos, k.child_pos, k.rank, k.parent FROM {_RICHEST} p JOIN
+    (SELECT o_custkey, o_orderkey AS rank, o_orderpriority AS parent, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS child_pos FROM orders) k ON c_custkey = o_custkey WHERE child_pos <= 3""")
+def _(spark, sf_dir):
+    """Children with columns that are called as if they said where a child belongs."""
+    found = tables(spark, sf_dir, "customer", "orders")
+    customer, orders = found["customer"], found["orders"].select(F.col("o_orderkey").alias("rank"), F.col("o_orderpriority").alias("parent"), "o_custkey", "o_totalprice")
+    known = Catalog().add(Table("customer", customer.schema, "c_custkey")).add(Table("orders", orders.schema, "rank")).relate(RELATIONS[2])
+    best = ir.Query("orders", order=(ir.Order("o_totalprice", True),), limit=3)
+    query = compile_query(ir.Query("customer", ir.Cmp(c("c_mktsegment"), "=", v("BUILDING")), _BALANCE, 50, (ir.Related("orders", best),)), known)
+    rows = lower.evaluate(query, {"customer": customer, "orders": orders})
+    numbered = rows.withColumn("pos", F.row_number().over(Window.orderBy(*ordering.order_columns(query.order, "c_custkey"))))
+    return numbered.select("c_custkey", "pos", F.posexplode("orders").alias("i", "x")).select("c_custkey", "pos", (F.col("i") + 1).alias("child_pos"), "x.rank", "x.parent")
+
+
+_CHURNED = """(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 6) THEN 600000.5 + o_orderkey ELSE o_totalprice END AS o_totalprice
+    FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 3)
+    UNION ALL SELECT 90000001 AS o_orderkey, 1 AS o_custkey, CAST(700000.25 AS DOUBLE) AS o_totalprice UNION ALL SELECT 90000002 AS o_orderkey, 2 AS o_custkey, CAST(NULL AS DOUBLE) AS o_totalprice)"""
+
+
+@_register("engine_churn", f"SELECT o_orderkey, o_totalprice, row_number() OVER ({_TOP.replace(' LIMIT 40', '')}) AS pos FROM (SELECT * FROM {_CHURNED} {_TOP})")
+def _(spark, sf_dir):
+    """What a host shows that has only been sent changes: mutations of an engine, a subscription, and its events replayed."""
+    from ..engine import Engine
+
+    old, _ = _old_new(spark, sf_dir)
+    engine = Engine(spark, Catalog().add(Table("orders", old.schema, "o_orderkey")))
+    engine.load("orders", old)
+    live = engine.subscribe(ir.Query("orders", order=(ir.Order("o_totalprice", True),), limit=40))
+    shown, events = [x.row for x in live.initial.changes], []
+    engine.on_delta(events.append)
+    lowest = [r[0] for r in old.select("o_orderkey").orderBy("o_orderkey").limit(6).collect()]
+    best = [r[0] for r in live.rows[:3]]
+    engine.mutate([ir.Delete("orders", k) for k in best], ("host", 1))
+    engine.mutate([ir.Update("orders", k, (("o_totalprice", 600000.5 + k),)) for k in lowest if k not in best], ("host", 2))
+    engine.mutate([ir.Insert("orders", (90000001, 1, 1.0)), ir.Insert("orders", (90000002, 2, None)), ir.Update("orders", 90000001, (("o_totalprice", 700000.25),))], ("host", 3))
+    engine.mutate([ir.Insert("orders", (90000003, 3, 900000.0))], ("host", 4))
+    engine.mutate([ir.Delete("orders", 90000003)], ("host", 5))
+    engine.mutate([ir.Delete("orders", 90000001)], ("host", 3))  # has been applied
+    for e in events:
+        shown = view.replay(shown, e.changes)
+    return spark.createDataFrame([(r[0], r[2], i) for i, r in enumerate(shown, 1)], "o_orderkey long, o_totalprice double, pos int")

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ordering, predicates
 from ..functions.values import join_keys
@@ -23,7 +24,7 @@ BROADCAST_ROWS = 10_000
 Tables = Mapping[str, DataFrame]
 
 
-def _bounded(frame: DataFrame, rows: int | None) -> DataFrame:
+def bounded(frame: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(frame) if rows is not None and rows <= BROADCAST_ROWS else frame
 
 
@@ -54,33 +55,47 @@ def top(query: Compiled, tables: Tables) -> DataFrame:
     return scan(query, tables, query.start_after, query.limit)
 
 
-def children_of(parents: DataFrame, bound: int | None, child: Child, tables: Tables) -> DataFrame:
-    """The wanted children of these parents: columns ``parent`` (the join key), ``rank`` and the child's own, nested lists included."""
+def _free(name: str, taken: list[str]) -> str:
+    """The name, or one made from it that isn't taken (in any case of letters)."""
+    lower = {t.lower() for t in taken}
+    while name in lower:
+        name += "_"
+    return name
+
+
+def children_of(parents: DataFrame, bound: int | None, child: Child, tables: Tables, values: list | None = None) -> tuple[DataFrame, str, str]:
+    """The wanted children of these parents, nested lists included, and the names of two more columns: the join key and the rank.
+
+    values: of the parents' column, where they are known, so that the scan skips other children.
+    """
     relation, query = child.relation, child.query
     kids = filtered(query, tables)
-    own, theirs = join_keys(F.col(f"`{relation.parent_column}`"), parents.schema[relation.parent_column].dataType, F.col(f"`{relation.child_column}`"), kids.schema[relation.child_column].dataType)
-    keys = parents.select(own.alias("parent")).where("parent IS NOT NULL").distinct()
-    kids = kids.withColumn("parent", theirs).join(_bounded(keys, bound), "parent", "left_semi")
-    window = Window.partitionBy("parent").orderBy(*ordering.order_columns(query.order, query.table.key))
-    kids = kids.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= query.limit)
-    names = list(query.select or query.table.columns)
+    names = list(query.select or query.table.columns) + [nested.name for nested in query.children]
+    parent, rank = (_free(n, [*kids.columns, *names]) for n in ("parent", "rank"))
+    own_type, kind = parents.schema[relation.parent_column].dataType, kids.schema[relation.child_column].dataType
+    if values is not None and own_type == kind and isinstance(kind, (T.IntegralType, T.StringType)) and len(values) <= BROADCAST_ROWS:
+        kids = kids.where(F.col(f"`{relation.child_column}`").isin([x for x in dict.fromkeys(values) if x is not None]))
+    own, theirs = join_keys(F.col(f"`{relation.parent_column}`"), own_type, F.col(f"`{relation.child_column}`"), kind)
+    keys = parents.select(own.alias(parent)).where(F.col(parent).isNotNull()).distinct()
+    kids = kids.withColumn(parent, theirs).join(bounded(keys, bound), parent, "left_semi")
+    window = Window.partitionBy(parent).orderBy(*ordering.order_columns(query.order, query.table.key))
+    kids = kids.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= query.limit)
     for nested in query.children:
         kids = attach(kids, None if bound is None else bound * query.limit, nested, tables)
-        names.append(nested.name)
-    return kids.select("parent", "rank", *[f"`{n}`" for n in names])
+    return kids.select(parent, rank, *[f"`{n}`" for n in names]), parent, rank
 
 
-def attach(parents: DataFrame, bound: int | None, child: Child, tables: Tables) -> DataFrame:
+def attach(parents: DataFrame, bound: int | None, child: Child, tables: Tables, values: list | None = None) -> DataFrame:
     """The parents with one more column, the ordered array of their children; empty where there are none."""
-    kids = children_of(parents, bound, child, tables)
-    names = [n for n in kids.columns if n not in ("parent", "rank")]
-    item = F.struct("rank", F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
-    lists = kids.groupBy("parent").agg(F.array_sort(F.collect_list(item), lambda a, b: a["rank"] - b["rank"]).alias("items"))
-    lists = lists.select("parent", F.transform("items", lambda x: x["row"]).alias(child.name))
-    own, _ = join_keys(F.col(f"`{child.relation.parent_column}`"), parents.schema[child.relation.parent_column].dataType, F.col("parent"), lists.schema["parent"].dataType)
-    keyed = parents.withColumn("parent_key_", own)
-    lists = lists.withColumnRenamed("parent", "list_key_")
-    joined = keyed.join(_bounded(lists, bound), F.col("parent_key_") == F.col("list_key_"), "left").drop("list_key_", "parent_key_")
+    kids, parent, rank = children_of(parents, bound, child, tables, values)
+    names = [n for n in kids.columns if n not in (parent, rank)]
+    item = F.struct(F.col(rank).alias("rank"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+    lists = kids.groupBy(parent).agg(F.array_sort(F.collect_list(item), lambda a, b: a["rank"] - b["rank"]).alias("items"))
+    own_key, list_key = (_free(n, [*parents.columns, child.name]) for n in ("parent_key_", "list_key_"))
+    lists = lists.select(F.col(parent).alias(list_key), F.transform("items", lambda x: x["row"]).alias(child.name))
+    own, _ = join_keys(F.col(f"`{child.relation.parent_column}`"), parents.schema[child.relation.parent_column].dataType, F.col(list_key), lists.schema[list_key].dataType)
+    keyed = parents.withColumn(own_key, own)
+    joined = keyed.join(bounded(lists, bound), F.col(own_key) == F.col(list_key), "left").drop(list_key, own_key)
     empty = F.array().cast(lists.schema[child.name].dataType)
     return joined.withColumn(child.name, F.coalesce(F.col(f"`{child.name}`"), empty))
 
