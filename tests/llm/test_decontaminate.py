@@ -17,7 +17,7 @@ def brute(texts, items, n):
     for item, text in items:
         w = fold(text)
         for i in range(len(w) - min(n, len(w)) + 1) if w else ():
-            windows.setdefault(tuple(w[i : i + min(n, len(w))]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + min(n, len(w))]), set()).add("" if item is None else str(item))
     out = []
     for i, text in enumerate(texts):
         w, hit, found = fold(text), set(), set()
@@ -32,9 +32,9 @@ def brute(texts, items, n):
 
 def make(spark):
     rng = random.Random(4)
-    items = [(i, tables.sentences(rng, rng.choice([0, 1, 3, 9, 10, 14]), 400)) for i in range(25)] + [(100, None), (101, "--- !!"), (3, "Ünïcode words, here AND there")]
+    items = [(i, tables.sentences(rng, rng.choice([0, 1, 3, 9, 10, 14]), 400)) for i in range(25)] + [(100, None), (101, "--- !!"), (3, "Ünïcode words, here AND there"), (None, tables.sentences(rng, 12, 400)), (None, "one more without an id")]
     texts = [tables.sentences(rng, rng.randint(0, 120), 400) for _ in range(20)]
-    texts += [f"before {t} after" for _, t in items[:12]] + [items[5][1], None, "", "ÜNÏCODE words here and there", "Ünïcode---WORDS\n(here) and.there", "pad " * 30000 + (items[8][1] or "")]
+    texts += [f"before {t} after" for _, t in items[:12] + items[-2:]] + [items[5][1], None, "", "ÜNÏCODE words here and there", "Ünïcode---WORDS\n(here) and.there", "pad " * 30000 + (items[8][1] or "")]
     return texts, items
 
 
@@ -57,3 +57,21 @@ def test_empty_tables_repeats_and_spans(spark):
     assert D.contamination(tables.empty(spark), some).count() == 0
     test = D.TestSet([(1, "b c")], 10)
     assert D.remove_spans("a B, c! d", test) == "a d" and D.remove_spans("a b", test) == "a b" and D.remove_spans(None, test) is None
+
+
+def test_a_block_is_as_large_as_it_says():
+    import pickle
+
+    rng = random.Random(5)
+    items = [(i, tables.sentences(rng, rng.choice([4, 30, 300]), 400)) for i in range(3000)]
+
+    class Rows:
+        def toLocalIterator(self):
+            return iter(items)
+
+    blocks = list(D._blocks(Rows(), 1 << 20))
+    assert len(blocks) > 4 and [x for b in blocks for x in b] == items
+    for b in blocks:
+        test = D.TestSet(b, 10)
+        filters = sum(len(x[1]) for x in test.by_length.values())
+        assert len(pickle.dumps(test)) < (1 << 20) + filters + 20_000

@@ -12,7 +12,8 @@ into blocks within that bound and the documents are read once for each block;
 hits are then joined by document.
 
 Defined results: a null or wordless text has no words, no hits and is clean;
-a null or wordless item has no windows; repeated rows each get their own
+a null or wordless item has no windows; items without an id are one item, whose
+id is the empty string; repeated rows each get their own
 result; an empty benchmark leaves every document clean; further columns of
 either table are ignored.
 """
@@ -30,36 +31,53 @@ from pyspark.sql import functions as F
 from . import words as W
 from .cluster import pick
 
-#: Bytes of benchmark text in one broadcast block.
+#: Bytes of one broadcast block: its items' texts and what it holds for each of their words; its bit filters have up to 16 MB more for each length of windows.
 MAX_BYTES = 32 << 20
+#: Bytes for each word: a hash, a place, a size, an owner; and for each item.
+FOR_WORD, FOR_ITEM = 20, 64
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 class TestSet:
-    """The windows of some benchmark items, by length: sorted hashes, a bit filter before them, and the words for verification."""
+    """The windows of some benchmark items, by length, in arrays: sorted hashes, a bit filter before them, where each window's words lie in one pool of bytes, and whose they are."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple], n: int):
-        found: dict[int, dict[int, list]] = {}
+        self.names, pool, at = [], [], 0
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for item_id, text in items:
-            tokens = (text or "").encode().translate(W.FOLD).split()
+            tokens = (text or "").encode(errors="replace").translate(W.FOLD).split()
             if not tokens:
                 continue
             k = min(n, len(tokens))
-            hashes = W.windows(W.hash_words(b" ".join(tokens))[0], k)
-            for i, h in enumerate(hashes.tolist()):
-                found.setdefault(k, {}).setdefault(h, []).append((str(item_id), b" ".join(tokens[i : i + k])))
+            said = b" ".join(tokens)
+            hashes, starts, ends = W.hash_words(said)
+            last = len(tokens) - k + 1
+            found.setdefault(k, []).append((W.windows(hashes, k), starts[:last] + at, (ends[k - 1 :] - starts[:last]).astype(np.int32), np.full(last, len(self.names), dtype=np.int32)))
+            self.names.append("" if item_id is None else str(item_id))
+            pool.append(said)
+            at += len(said)
+        self.pool = b"".join(pool)
         self.by_length = {}
-        for k, x in sorted(found.items()):
-            keys = np.array(sorted(x), dtype=np.uint64)
+        for k, parts in sorted(found.items()):
+            keys, starts, sizes, owners = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
             bits = 16
             while bits < 24 and (1 << bits) < 64 * len(keys):
                 bits += 1
             may = np.zeros(1 << bits, dtype=bool)
             may[keys >> np.uint64(64 - bits)] = True
-            self.by_length[k] = (keys, may, np.uint64(64 - bits), x)
+            self.by_length[k] = (keys, may, np.uint64(64 - bits), starts[order].astype(np.int32), sizes[order], owners[order])
+
+    def occurring(self, k: int, h: int, said: bytes) -> Iterator[str]:
+        """The items with this window of k words, whose hash is h."""
+        keys, _, _, starts, sizes, owners = self.by_length[k]
+        for i in range(int(np.searchsorted(keys, h)), int(np.searchsorted(keys, h, side="right"))):
+            if self.pool[starts[i] : starts[i] + sizes[i]] == said:
+                yield self.names[owners[i]]
 
 
 def _hits(folded: bytes, h: np.ndarray, test: TestSet, near: dict[int, np.ndarray]) -> tuple[np.ndarray, set[str]]:
@@ -72,10 +90,9 @@ def _hits(folded: bytes, h: np.ndarray, test: TestSet, near: dict[int, np.ndarra
         hashes = W.windows(h, k)
         for p in places.tolist():
             said = b" ".join(tokens[p : p + k])
-            for item, window in test.by_length[k][3][int(hashes[p])]:
-                if said == window:
-                    hit[p : p + k] = True
-                    items.add(item)
+            for item in test.occurring(k, hashes[p], said):
+                hit[p : p + k] = True
+                items.add(item)
     return hit, items
 
 
@@ -84,7 +101,7 @@ def scan(texts: list[str | None], test: TestSet) -> Iterator[tuple[int, int, np.
     folded = [(t or "").encode(errors="replace").translate(W.FOLD) for t in texts]
     for first, last, h, bounds in W.chunks(folded):
         near: dict[int, np.ndarray] = {}
-        for k, (keys, may, shift, _) in test.by_length.items():
+        for k, (keys, may, shift, *_) in test.by_length.items():
             g = W.windows(h, k)
             p = np.flatnonzero(may[g >> shift])
             p = p[keys[np.minimum(np.searchsorted(keys, g[p]), len(keys) - 1)] == g[p]]
@@ -104,7 +121,8 @@ def _blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple]]:
     """The items in blocks of bounded bytes; never more than one block is on the driver."""
     block, size = [], 0
     for row in benchmark.toLocalIterator():
-        n = len((row[1] or "").encode(errors="replace")) + 64
+        said = (row[1] or "").encode(errors="replace").translate(W.FOLD)
+        n = len(said) + FOR_WORD * len(said.split()) + FOR_ITEM
         if block and size + n > max_bytes:
             yield block
             block, size = [], 0
@@ -171,28 +189,17 @@ def _two(blocks: Iterator) -> Iterator:
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The documents, with all their columns, in which no window of a benchmark item occurs."""
-    if len(list(_two(_blocks(pick(benchmark, "item_id", "text"), max_bytes)))) == 1:
-        test = documents.sparkSession.sparkContext.broadcast(TestSet(next(_blocks(pick(benchmark, "item_id", "text"), max_bytes)), n))
-        names = documents.columns
-        at = names.index("text")
-
-        def clean(batches):
-            for batch in W.slices(batches, at):
-                keep = [not items for *_, items in scan(batch.column(at).to_pylist(), test.value)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        return documents.mapInArrow(clean, documents.schema)
-    keyed, at = documents, documents.columns.index("text")
+    """The documents, with all their columns, in which no window of a benchmark item occurs; texts go through one filter for each block."""
+    clean, at = documents, documents.columns.index("text")
     for block in _blocks(pick(benchmark, "item_id", "text"), max_bytes):
         test = documents.sparkSession.sparkContext.broadcast(TestSet(block, n))
 
-        def clean_block(batches, test=test, at=at):
+        def keep(batches, test=test):
             for batch in W.slices(batches, at):
                 yield batch.filter(pa.array([not items for *_, items in scan(batch.column(at).to_pylist(), test.value)], pa.bool_()))
 
-        keyed = keyed.mapInArrow(clean_block, keyed.schema)
-    return keyed
+        clean = clean.mapInArrow(keep, clean.schema)
+    return clean
 
 
 def remove_spans(text: str | None, test: TestSet) -> str | None:
