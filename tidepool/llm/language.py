@@ -103,7 +103,7 @@ class Filters:
 
     @staticmethod
     def _places(keys: np.ndarray) -> list[np.ndarray]:
-        return [keys >> np.uint64(64 - BITS - 15 * i) & np.uint64((1 << BITS) - 1) for i in range(LOOKUPS)]
+        return [W.mix(keys + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(64 - BITS) for i in range(LOOKUPS)]
 
     def masks(self, keys: np.ndarray, word: int = 0) -> np.ndarray:
         """For each n-gram those of 64 languages that may have it, as bits."""
