@@ -102,29 +102,21 @@ class TopK:
         query, spark = self.query, batch.sparkSession
         key, order = query.table.key, query.order
         schema = batch.schema["after"].dataType
-        held = [r[key] for r in self.rows]
-        gone = set()
-        if held:
-            ours = spark.createDataFrame([(k,) for k in held], f"key {schema[key].dataType.simpleString()}")
-            gone = {r["key"] for r in batch.join(F.broadcast(ours), "key", "left_semi").select("key").collect()}
-        fresh = batch.where("after IS NOT NULL").select("after.*")
-        if query.start_after is not None:
-            fresh = fresh.where(ordering.after_cursor(query.start_after, order, key, schema))
-        if not self.full:
-            if self.rows:
-                last = ordering.cursor_of(self.rows[-1], order, key)
-                past = ordering.after_cursor(last, order, key, schema)
-                fresh = fresh.where(~past)
-            else:
-                fresh = None
-        kept = [r for r in self.rows if r[key] not in gone]
         size = query.limit + self.slack
-        if fresh is not None:
-            # Only rows that can enter the window come to the driver.
-            best = fresh.orderBy(*ordering.order_columns(order, key)).limit(size + 1)
-            if kept:
-                best = best.unionByName(spark.createDataFrame(kept, schema)).orderBy(*ordering.order_columns(order, key)).limit(size + 1)
-            kept = best.collect()
+        held = spark.createDataFrame(self.rows, schema)
+        # Changed rows go out, and come back if their new images belong: one plan, and only the window comes to the driver.
+        ours = F.broadcast(held.select(F.col(f"`{key}`").alias("key")))
+        touched = F.broadcast(batch.join(ours, "key", "left_semi").select(F.col("key").alias("touched_")))
+        kept = held.join(touched, F.col(f"`{key}`") == F.col("touched_"), "left_anti")
+        if self.full or self.rows:
+            fresh = batch.where("after IS NOT NULL").select("after.*")
+            if query.start_after is not None:
+                fresh = fresh.where(ordering.after_cursor(query.start_after, order, key, schema))
+            if not self.full:
+                last = ordering.cursor_of(self.rows[-1], order, key)
+                fresh = fresh.where(~ordering.after_cursor(last, order, key, schema))
+            kept = kept.unionByName(fresh)
+        kept = kept.orderBy(*ordering.order_columns(order, key)).limit(size + 1).collect()
         self._cut(kept)
         self._refill(tables)
 
