@@ -63,9 +63,14 @@ def release(spark: SparkSession) -> None:
 
 _shipped: set[str] = set()
 
+#: Bytes of rows that go to a worker at once, whatever the texts' lengths: both sides hold some copies of them beside the heap.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends this library to the executors, whose Python may not have it; once for each application."""
+    """Sends this library to the executors, whose Python may not have it, once for each application; bounds what goes to a worker at once, if the application has no bound of its own."""
+    if not spark.sparkContext.getConf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
     app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
     if app in _shipped or not root.is_dir():
         return
