@@ -95,3 +95,87 @@ def test_parts_of_an_article_stay(name):
 def test_long_neighbours_of_an_article_are_left_out(box, name):
     page = f'<div class="{name}">{"<p>And so on and on. </p>" * 12}</div><{box}><p>{BODY}</p></{box}>'
     assert X.extract(page, WEIGHTS) == BODY
+
+
+def test_unclosed_elements_cost_their_length():
+    import time
+
+    for page in ("<div class=ad>x " * 50_000, "<div class=ad><p>x</div>" * 30_000, "<aside>" * 50_000 + "x</aside>" * 50_000):
+        start = time.time()
+        X.extract(page, WEIGHTS)
+        assert time.time() - start < 4
+
+
+def test_ends_of_elements_equal_a_count_of_depths():
+    import random
+    import re
+
+    rng = random.Random(6)
+    for _ in range(300):
+        page = "".join(rng.choice(["<aside>", "</aside>", "x ", "<p>", "<div class=ad>", "</div>", "<div>"]) for _ in range(rng.randint(1, 25)))
+        want, at = [], 0
+        while m := re.compile(r"<(/?)(\w+)( class=ad)?>|[^<]+").search(page, at):
+            at = m.end()
+            if not m[2]:
+                want.append(("text", m[0]))
+            elif not m[1] and (m[2] == "aside" or m[3]):
+                depth, stop = 1, None
+                for c in re.compile(rf"<(/?){m[2]}[^>]*>").finditer(page, at):
+                    depth += -1 if c[1] else 1
+                    if not depth:
+                        stop = c.end()
+                        break
+                want.append(("skip", m[2]))
+                at = stop or at
+            else:
+                want.append(("close" if m[1] else "open", m[2]))
+        got = X.tokens(page)
+        if ("open", "div") not in got or "class=ad" not in page:  # an advert with most of the words stays
+            assert got == want, page
+
+
+def articles(page):
+    """The blocks of the article element, by the parser of the standard library."""
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        depth, own, out = 0, [], []
+
+        def cut(self):
+            self.out = self.out + [" ".join("".join(self.own).split())]
+            self.own = []
+
+        def handle_starttag(self, tag, attrs):
+            if self.depth and tag in ("p", "h1") or tag == "article":
+                self.cut() if self.depth else None
+                self.depth += tag == "article"
+            elif self.depth and tag == "br":
+                self.own = [*self.own, " "]
+
+        def handle_endtag(self, tag):
+            if self.depth and tag in ("p", "h1", "article"):
+                self.cut()
+                self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            if self.depth:
+                self.own = [*self.own, data]
+
+    found = Blocks()
+    found.feed(page or "")
+    found.close()
+    return "\n".join(x for x in found.out if x)
+
+
+def test_articles_of_the_tables_are_whole():
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    path = Path("/root/testdata/sf0.01/pages.parquet")
+    if not path.exists():
+        pytest.skip("the driver's tables aren't here")
+    pages = pq.read_table(path).column("html").to_pylist()
+    assert len(pages) > 200
+    for page in pages:
+        assert X.extract(page, WEIGHTS) == articles(page)

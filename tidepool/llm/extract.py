@@ -109,23 +109,27 @@ def tokens(page: str) -> list[tuple[str, str]]:
     """("text", piece), ("open", name), ("close", name) in page order; ("skip", name) stands for an element left out."""
     out: list[tuple[str, str]] = []
     at, end = 0, len(page)
-    closers: dict[str, list[tuple[int, int]]] = {}
+    tags: dict[str, tuple[list[int], list[int], list[int], dict[int, list[int]]]] = {}
     sizes: list = []
 
     def past(name: str, start: int) -> int | None:
         """Where the element opened just before ``start`` ends; None if it is never closed."""
-        if name not in closers:
-            closers[name] = [(m.start(), m.end(), m[0][1] == "/") for m in re.finditer(rf"</?{re.escape(name)}(?=[\s/>])[^>]*+>", page, re.I)]
-        depth = 1
-        lo, hi = 0, len(closers[name])
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if closers[name][mid][0] < start else (lo, mid)
-        for _, stop, closes in closers[name][lo:]:
-            depth += -1 if closes else (0 if name in RAW else 1)
-            if not depth:
-                return stop
-        return None
+        if name not in tags:
+            starts, stops, depths, ends = [], [], [0], {}
+            for m in re.finditer(rf"</?{re.escape(name)}(?=[\s/>])[^>]*+>", page, re.I):
+                closes = m[0][1] == "/"
+                if closes:
+                    ends.setdefault(depths[-1] - 1, []).append(len(starts))
+                starts.append(m.start())
+                stops.append(m.end())
+                depths.append(depths[-1] + (-1 if closes else 0 if name in RAW else 1))
+            tags[name] = starts, stops, depths, ends
+        starts, stops, depths, ends = tags[name]
+        # The element's end is the first tag behind it that brings the depth below what it is there.
+        first = bisect.bisect_left(starts, start)
+        below = ends.get(depths[first] - 1, [])
+        i = bisect.bisect_left(below, first)
+        return stops[below[i]] if i < len(below) else None
 
     def holds_most(start: int, stop: int, why: str) -> bool:
         """Whether an element holds most of the page's words (of replies, all but a tenth), and no more words of article and main are outside of it."""

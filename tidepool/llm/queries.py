@@ -20,6 +20,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles all weigh one, since the similarity asked for is that of plain sets; weights are a parameter of the signatures."""
     return near.classes(table(spark, sf_dir, "documents"), dart.signer)
 
 
@@ -39,6 +40,11 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbours(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 6: bands of the permutations joined, Jaccard similarities verified."""
+    return fingerprint.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op4_substring": op4_substring,
     "op5_decontaminate": op5_decontaminate,
     "op6_fingerprint": op6_fingerprint,
+    "fingerprint_classes": fingerprint_classes,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_packing": op9_packing,

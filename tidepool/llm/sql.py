@@ -43,4 +43,12 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0)
 FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
 """
 
-ORACLE: dict[str, str] = {"op2_minhash": OP2, "op4_substring": OP4, "op5_decontaminate": OP5}
+#: For pages whose main text is one article element of headings and paragraphs, as it is in the tables: its blocks, without tags, with the character references that occur there.
+OP10 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS h FROM pages),
+said AS (SELECT page_id, url, list_transform(string_split_regex(h, '</?(?:p|h1)>'), lambda b: regexp_replace(replace(regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g')) AS blocks FROM a),
+plain AS (SELECT page_id, url, array_to_string(list_filter(list_transform(blocks, lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text FROM said)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM plain
+"""
+
+ORACLE: dict[str, str] = {"op2_minhash": OP2, "fingerprint_classes": OP2, "op4_substring": OP4, "op5_decontaminate": OP5, "op10_extract": OP10}
