@@ -121,3 +121,71 @@ def test_whole_texts_are_learned(spark):
     docs = spark.createDataFrame([(i, t, x, "s", 0) for i, (x, t) in enumerate(rows)], tables.DOCS)
     got = {r.doc_id: r for r in L.identify(docs).collect()}
     assert [got[i].lang_pred for i in (18, 19)] == ["de", "en"] and min(got[18].score, got[19].score) > 0.7
+
+
+def plain_statistics(text):
+    """The statistics of one text, from their definitions."""
+    import math
+    import re
+
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    if not words:
+        return [0.0] * 12
+    few = Q.FEW
+    marks, upper, shouts, bars, digits, stops, lines = (sum(data.count(bytes([c])) for c in kind) for kind in (b"#$%&*~^<>{}\\@=", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?", b"|", b"0123456789", b".,;:", b"\n"))
+    k, size = len(words) + few, len(data) + 6 * few
+    same = sum(a == b for a, b in zip(words, words[1:])) / k
+    distinct = (len(set(words)) + few) / k
+    root = math.sqrt
+    return [math.log1p(k), root(marks / size), root(upper / size), root(shouts / size), root(bars / size), root(digits / size), root(same), math.asin(root(distinct)) + 0.08 * math.log1p(k), math.log1p(size / k), root(stops / k), root(lines / k), math.log1p((marks + shouts + bars) / k)]
+
+
+def test_quality_scores_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    good = [tables.sentences(rng, rng.randint(5, 120), 400).capitalize() + ".\nMore of it, 12." for _ in range(40)]
+    bad = [" ".join(rng.choice(["$$$", "BUY", "now!!", "|", "x=y", "x=y", "99"]) for _ in range(rng.randint(4, 80))) for _ in range(40)]
+    texts = good + bad + [None, "", "a a a a"]
+    labels = [(i, int(i < 40)) for i in range(80)]
+    x = np.array([plain_statistics(t) for t in texts])
+    assert np.allclose(Q.vectors(texts), x)
+    learn = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    classes = [x[[i for i in learn if (i < 40) == bool(c)]] for c in (0, 1)]
+    pooled = np.sqrt(np.maximum(sum(len(c) * c.var(axis=0) for c in classes) / len(learn), 1e-8))
+    density = []
+    for c in classes:
+        s = np.cov(c.T, bias=True) / np.outer(pooled, pooled)
+        s = (1 - Q.SHRINKAGE) * s + Q.SHRINKAGE * max(np.trace(s) / 12, 1e-3) * np.eye(12)
+        z = (x - c.mean(axis=0)) / pooled
+        density.append(np.log(len(c) / len(learn)) - 0.5 * np.einsum("ni,ij,nj->n", z, np.linalg.inv(s), z) - 0.5 * np.linalg.slogdet(s)[1])
+    want = 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
+    got = {r.doc_id: r.score for r in Q.score(tables.documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
+def plain_grams(text):
+    """The n-grams of letters within words and over one of their edges."""
+    import re
+
+    said = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    return [said[i : i + 4] for i in range(len(said) - 3) if " " not in said[i + 1 : i + 3]]
+
+
+def test_languages_equal_brute_force(spark):
+    """Exact sets in the place of filters give the same languages, and nearly the same scores."""
+    import random
+
+    rng = random.Random(5)
+    letters = {"x": "abcdefghij", "y": "fghijklmno", "z": "klmnopqrst"}
+    words = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(150)] for x, a in letters.items()}
+    texts = [(x, " ".join(rng.choices(words[x], k=rng.randint(20, 60)))) for _ in range(40) for x in words]
+    texts += [(None, " ".join(rng.choices(words["x"], k=30) + rng.choices(words["y"], k=20))), (None, "Abc, ABC! 12")]
+    docs = spark.createDataFrame([(i, t, x, "s", 0) for i, (x, t) in enumerate(texts)], tables.DOCS)
+    learned = {x: {g for i, (y, t) in enumerate(texts) if y == x and zlib.crc32(str(i).encode()) % 3 != 1 for g in plain_grams(t)} for x in words}
+    got = {r.doc_id: r for r in L.identify(docs).collect()}
+    for i, (_, text) in enumerate(texts[:-1]):
+        hits = sorted(((sum(g in own for g in plain_grams(text)), x) for x, own in learned.items()), reverse=True)
+        assert got[i].lang_pred == hits[0][1]
+        assert abs(got[i].score - hits[0][0] / (hits[0][0] + hits[1][0])) < 0.02
