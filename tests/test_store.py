@@ -181,3 +181,56 @@ def test_positional_diff_of_long_lists():
     start = time.time()
     assert len(view.positional_diff(same, same[::-1])) == 99_999 and not view.positional_diff(same, same)
     assert time.time() - start < 4
+
+
+def test_a_list_of_some_columns_is_kept_from_changes(spark):
+    engine = seeded(spark)
+    query = flagship()
+    query = ir.Query(query.table, query.where, query.order, 3, query.related, params=(1,), select=("title", "id"))
+    with engine.subscribe(query) as live:
+        assert live.live.node_names()[-2:] == ["project", "view"] and "top k" in live.live.node_names()
+        events = []
+        engine.on_delta(events.append)
+        shown = [x.row for x in live.initial.changes]
+        for ops in ([ir.Delete("issues", 5)], [ir.Update("issues", 1, (("priority", 99),))], [ir.Insert("comments", (900, 1, 9, "new"))], [ir.Update("issues", 3, (("closed", 1),))], [ir.Update("issues", 4, (("title", "said anew"),))]):
+            engine.mutate(ops)
+            with engine.subscribe(query) as fresh:
+                assert live.rows == fresh.rows
+        for e in events:
+            shown = view.replay(shown, e.changes)
+        assert shown == live.rows and [r[:2] for r in shown] == [("issue 1", 1), ("said anew", 4), ("issue 2", 2)]
+
+
+def test_rows_of_the_driver_are_part_of_the_plan(spark):
+    import datetime
+    import decimal
+
+    from pyspark.sql import types as T
+
+    from tidepool.sources.local import frame_of, is_local
+
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.BinaryType()), T.StructField("d", T.DateType()), T.StructField("n", T.DecimalType(10, 2)), T.StructField("f", T.DoubleType())]))])
+    rows = [(1, ("x", b"\0y", datetime.date(2020, 2, 29), decimal.Decimal("1.50"), float("inf"))), (2, None), (None, (None,) * 5)]
+    frame = frame_of(spark, rows, schema)
+    assert is_local(frame) and frame.schema == schema
+    assert [tuple(r) for r in frame.collect()] == [tuple(r) for r in spark.createDataFrame(rows, schema).collect()]
+    assert is_local(frame_of(spark, [], schema)) and frame_of(spark, [], schema).count() == 0
+    for bad in ((1.5, None), ("1", None), (1, ("x", b"", None, None, 1))):
+        with pytest.raises(Exception):
+            frame_of(spark, [bad], schema)
+    when = T.StructType([T.StructField("t", T.TimestampType())])
+    now = datetime.datetime(2024, 3, 1, 12)
+    assert frame_of(spark, [(now,)], when).first() == spark.createDataFrame([(now,)], when).first()
+
+
+def test_changes_in_memory_are_merged_beside_the_base(spark):
+    engine = seeded(spark)
+    engine.store.most_changes = 3
+    engine.load("issues", spark.range(2000).selectExpr("id", "1 AS project_id", "id AS priority", "0L AS closed", "'t' AS title"))
+    base = engine.store._frames["issues"]
+    with engine.subscribe(flagship()) as live:
+        for n in range(9):
+            engine.mutate([ir.Delete("issues", live.rows[0][0])])
+        assert [r[0] for r in live.rows] == [1990, 1989, 1988]
+    assert engine.store._frames["issues"] is base and len(engine.store._parts["issues"]) <= 3
+    assert engine.store.read("issues").count() == 1991

@@ -15,6 +15,7 @@ from .operators.incremental import LiveList, bytes_of
 from .plans import ir, lower
 from .plans.compile import Compiled, compile_query
 from .schema import Catalog, Table
+from .sources.local import frame_of
 from .sources.snapshots import SnapshotStore
 
 
@@ -171,7 +172,7 @@ class Engine:
             changes = [(k, first[name].get(k), after) for k, after in rows.items() if tuple(first[name].get(k) or ()) != tuple(after or ())]
             if changes:
                 try:
-                    out[name] = self.spark.createDataFrame(changes, deltas.schema(_nullable(table.schema), table.key))
+                    out[name] = frame_of(self.spark, changes, deltas.schema(_nullable(table.schema), table.key))
                 except Exception as e:
                     raise MutationError(f"values don't fit the columns of {name!r}: {e}") from e
         return out

@@ -21,11 +21,13 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ordering
 from ..functions.values import join_keys
 from ..plans import ir, lower
 from ..plans.compile import Compiled
+from ..sources.local import frame_of, is_local
 from . import deltas
 
 # How the slack of a window starts and grows.
@@ -103,11 +105,15 @@ class TopK:
         key, order = query.table.key, query.order
         schema = batch.schema["after"].dataType
         size = query.limit + self.slack
-        held = spark.createDataFrame(self.rows, schema)
         # Changed rows go out, and come back if their new images belong: one plan, and only the window comes to the driver.
-        ours = F.broadcast(held.select(F.col(f"`{key}`").alias("key")))
-        touched = F.broadcast(batch.join(ours, "key", "left_semi").select(F.col("key").alias("touched_")))
-        kept = held.join(touched, F.col(f"`{key}`") == F.col("touched_"), "left_anti")
+        if is_local(batch):  # made by the driver, so its keys are there
+            gone = {r["key"] for r in batch.select("key").collect()}
+            kept = frame_of(spark, [r for r in self.rows if r[key] not in gone], schema)
+        else:
+            held = frame_of(spark, self.rows, schema)
+            ours = F.broadcast(held.select(F.col(f"`{key}`").alias("key")))
+            touched = F.broadcast(batch.join(ours, "key", "left_semi").select(F.col("key").alias("touched_")))
+            kept = held.join(touched, F.col(f"`{key}`") == F.col("touched_"), "left_anti")
         if self.full or self.rows:
             fresh = batch.where("after IS NOT NULL").select("after.*")
             if query.start_after is not None:
@@ -145,7 +151,7 @@ class TopK:
 
 @dataclass
 class LiveList:
-    """One query kept up to date: ``rows`` is the ordered answer as (key, row) pairs."""
+    """One query kept up to date: ``rows`` is the ordered answer as (key, row) pairs; ``wide`` has them with all columns, where only some are chosen."""
 
     query: Compiled
     slack: int = -1
@@ -153,10 +159,11 @@ class LiveList:
     rows: list[tuple[Any, tuple]] = field(default_factory=list)
     counters: Counters = field(default_factory=Counters)
     requery: bool = False
+    wide: list[tuple[Any, tuple]] = field(default_factory=list)
 
     def __post_init__(self):
-        if self.query.limit is None or self.query.select:
-            self.requery = True  # all of it is on screen, or its order isn't in its rows
+        if self.query.limit is None:
+            self.requery = True  # all of it is on screen
         else:
             self.window = TopK(self.query, self.slack, counters=self.counters)
 
@@ -176,7 +183,7 @@ class LiveList:
         """Rows with their children, for some parents, by key."""
         if not parents:
             return {}
-        frame = spark.createDataFrame(parents, schema)
+        frame = frame_of(spark, parents, schema)
         for child in self.query.children:
             frame = lower.attach(frame, len(parents), child, tables, [r[child.relation.parent_column] for r in parents])
         found = {r[self.query.table.key]: tuple(r) for r in frame.collect()}
@@ -194,7 +201,13 @@ class LiveList:
         before = self.counters.child_refills, self.counters.child_rows
         found = self._nested(self.window.visible, tables, root.sparkSession, root.schema)
         self.counters.child_refills, self.counters.child_rows = before  # the first reading is no refill
-        self.rows = [(r[self.query.table.key], found[r[self.query.table.key]]) for r in self.window.visible]
+        return self._show([(r[self.query.table.key], found[r[self.query.table.key]]) for r in self.window.visible])
+
+    def _show(self, wide: list[tuple[Any, tuple]]) -> list[tuple[Any, tuple]]:
+        columns = self.query.table.columns
+        at = [columns.index(n) for n in self.query.select or ()]
+        self.wide = wide
+        self.rows = [(k, tuple(r[i] for i in at) + r[len(columns) :]) for k, r in wide] if at else wide
         return self.rows
 
     def touched(self, batches: Mapping[str, DataFrame]) -> bool:
@@ -211,14 +224,13 @@ class LiveList:
         root = tables[query.table.name]
         if query.table.name in batches:
             self.window.apply(deltas.filter_changes(batches[query.table.name], query.where, query.params), tables)
-        old = dict(self.rows)
+        old = dict(self.wide)
         visible = self.window.visible
         width = len(root.schema)
         stale = self._parents_of_changed_children(visible, batches, tables, root)
         again = [r for r in visible if r[query.table.key] in stale or r[query.table.key] not in old or tuple(r) != old[r[query.table.key]][:width]]
         found = self._nested(again, tables, root.sparkSession, root.schema)
-        self.rows = [(k, found.get(k) or old[k]) for k in (r[query.table.key] for r in visible)]
-        return self.rows
+        return self._show([(k, found.get(k) or old[k]) for k in (r[query.table.key] for r in visible)])
 
     def _parents_of_changed_children(self, visible: list[Row], batches: Mapping[str, DataFrame], tables: lower.Tables, root: DataFrame) -> set:
         """Keys of visible parents that a child's image, old or new, belongs to; every parent if a deeper table changed."""
@@ -231,9 +243,13 @@ class LiveList:
             if child.relation.child not in batches:
                 continue
             relation = child.relation
-            parents = root.sparkSession.createDataFrame(visible, root.schema)
             batch = batches[relation.child]
             kind = batch.schema["after"].dataType[relation.child_column].dataType
+            if is_local(batch) and kind == root.schema[relation.parent_column].dataType and isinstance(kind, (T.IntegralType, T.StringType)):
+                fks = {x for r in batch.select(f"before.`{relation.child_column}`", f"after.`{relation.child_column}`").collect() for x in r} - {None}
+                out |= {r[query.table.key] for r in visible if r[relation.parent_column] in fks}
+                continue
+            parents = frame_of(root.sparkSession, visible, root.schema)
             own, theirs = join_keys(F.col(f"`{relation.parent_column}`"), parents.schema[relation.parent_column].dataType, F.col("fk"), kind)
             sides = batch.select(F.explode(F.array(F.col(f"before.`{relation.child_column}`"), F.col(f"after.`{relation.child_column}`"))).alias("fk")).select(theirs.alias("fk")).where("fk IS NOT NULL")
             keyed = F.broadcast(parents.select(F.col(f"`{query.table.key}`").alias("key_"), own.alias("fk")))

@@ -35,6 +35,7 @@ from ..operators import deltas
 from ..plans import ir
 from ..schema import Catalog, Table
 from .checkpoints import settle
+from .local import is_local
 
 #: Sets of changes that are laid over a base at most before they are merged into one.
 MOST_CHANGES = 16
@@ -51,6 +52,7 @@ class SnapshotStore:
         self.spark, self.catalog, self.path, self.most_changes = spark, catalog, path, most_changes
         self._frames: dict[str, DataFrame] = {}
         self._parts: dict[str, list[DataFrame]] = {}
+        self._rows: dict[str, int] = {}  # of bases in memory
         self._number, self._state = self._latest()
 
     # -- manifests
@@ -177,9 +179,16 @@ class SnapshotStore:
         return kept.unionByName(last.where("after IS NOT NULL").select("after.*"))
 
     def lookup(self, name: str, keys: list) -> dict:
-        """The rows of some keys, in one job."""
+        """The rows of some keys: those of the base, with the changes of these keys laid over them here."""
+        if not keys:
+            return {}
         table = self.catalog.table(name)
-        return {r[table.key]: r for r in self.read(name).where(F.col(f"`{table.key}`").isin(list(keys))).collect()} if keys else {}
+        found = {r[table.key]: r for r in self._base(table).where(F.col(f"`{table.key}`").isin(list(keys))).collect()}
+        changes = self._changes(table)
+        if changes is not None:
+            for r in sorted(changes.where(F.col("key").isin(list(keys))).select("key", "after", "version").collect(), key=lambda r: r["version"]):
+                found[r["key"]] = r["after"]
+        return {k: r for k, r in found.items() if r is not None}
 
     def dump(self, name: str) -> DataFrame:
         """The whole table in key order."""
@@ -219,6 +228,7 @@ class SnapshotStore:
         rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema])
         if self.path is None:
             self._frames[name], self._parts[name] = rows, []
+            self._rows.pop(name, None)
         else:
             self._commit(self._with_table(name, **self._write_base(table, rows)))
 
@@ -231,7 +241,7 @@ class SnapshotStore:
             old = self._state["tables"].get(name, {"base": None, "bytes": 0, "changes": []})
             added = []
             if self.path is None:
-                self._parts.setdefault(name, []).append(settle(numbered))
+                self._parts.setdefault(name, []).append(numbered if is_local(numbered) else settle(numbered))
             else:
                 path = self._fresh(name, "changes")
                 numbered.write.parquet(path)
@@ -254,7 +264,12 @@ class SnapshotStore:
     def _tidy(self, name: str) -> None:
         if self.path is None:
             if len(self._parts[name]) > self.most_changes:
-                self.compact(name)
+                merged = settle(self._merged(self.catalog.table(name)))
+                if name not in self._rows:
+                    self._rows[name] = self._base(self.catalog.table(name)).count()
+                self._parts[name] = [merged]
+                if merged.count() > SHARE * self._rows[name]:
+                    self.compact(name)
             return
         own = self._state["tables"][name]
         if sum(x[1] for x in own["changes"]) > max(LEAST_BYTES, SHARE * own["bytes"]):
@@ -262,11 +277,14 @@ class SnapshotStore:
         elif len(own["changes"]) > self.most_changes:
             self._merge_changes(name)
 
+    def _merged(self, table: Table) -> DataFrame:
+        last = self._changes(table).groupBy("key").agg(F.min_by(F.struct("before"), "version").alias("x"), F.max_by(F.struct("after"), "version").alias("y"), F.max("version").alias("version"))
+        return last.select("key", F.col("x.before").alias("before"), F.col("y.after").alias("after"), "version")
+
     def _merge_changes(self, name: str) -> None:
         """Many sets of changes become one, with the last image of each key; the base isn't read."""
-        table, path = self.catalog.table(name), self._fresh(name, "changes")
-        last = self._changes(table).groupBy("key").agg(F.min_by(F.struct("before"), "version").alias("x"), F.max_by(F.struct("after"), "version").alias("y"), F.max("version").alias("version"))
-        last.select("key", F.col("x.before").alias("before"), F.col("y.after").alias("after"), "version").coalesce(8).write.parquet(path)
+        path = self._fresh(name, "changes")
+        self._merged(self.catalog.table(name)).coalesce(8).write.parquet(path)
         self._commit(self._with_table(name, changes=[[path, self._bytes(path)]]))
 
     def compact(self, name: str) -> None:
@@ -274,6 +292,7 @@ class SnapshotStore:
         table = self.catalog.table(name)
         if self.path is None:
             self._frames[name], self._parts[name] = settle(self.read(name)), []
+            self._rows.pop(name, None)
         else:
             self._commit(self._with_table(name, **self._write_base(table, self.read(name))))
 
