@@ -141,7 +141,9 @@ def _level(joined: DataFrame, start: int, window: int, length: int, firsts: bool
                     p = np.setdiff1d(p, np.asarray(gone[i], dtype=np.int64), assume_unique=True)
                 if not len(p):
                     continue
-                one, two = W.windows(h, length)[p], W.windows(W.hash_words(text, W.OTHER)[0], length, _SECOND)[p]
+                one = W.windows(h, length)[p]
+                # Before the last level a collision only keeps a candidate, so the first hash will do.
+                two = W.windows(W.hash_words(text, W.OTHER)[0], length, _SECOND)[p] if firsts else np.zeros(len(p), np.uint64)
                 one, at, n = np.unique(one, return_index=True, return_counts=True)  # at: the earliest place in this document
                 many = np.minimum(n, 2).astype(np.int32)
                 rows = pa.array(np.full(len(one), i))
