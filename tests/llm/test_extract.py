@@ -90,6 +90,17 @@ def test_parts_of_an_article_stay(name):
     assert X.extract(page, WEIGHTS) == f"{BODY}\n{TITLE}\nFew words.\n{BODY}"
 
 
+@pytest.mark.parametrize("box", ["article", "main"])
+@pytest.mark.parametrize("header", ["header", "div class=header", "div class='banner top'"])
+def test_a_header_within_an_article_stays_if_it_holds_a_heading(box, header):
+    end = header.split()[0]
+    foot = f"<footer>{MENU}</footer>"
+    titled = f"<header><h1>Site</h1>{MENU}</header><{box}><{header}><h2>{TITLE}</h2><nav>{MENU}</nav></{end}><p>{BODY}</p></{box}>{foot}"
+    assert X.extract(titled, WEIGHTS) == f"{TITLE}\n{BODY}"
+    other = f"<{box}><{header}><p>By somebody else</p></{end}><p>{BODY}</p></{box}><div class=header><h1>Site</h1></div>{foot}"
+    assert X.extract(other, WEIGHTS) == BODY
+
+
 @pytest.mark.parametrize("name", ["sidebar", "comments", "ad-slot-1", "cookieNotice", "related box"])
 @pytest.mark.parametrize("box", ["article", "main"])
 def test_long_neighbours_of_an_article_are_left_out(box, name):
@@ -100,7 +111,7 @@ def test_long_neighbours_of_an_article_are_left_out(box, name):
 def test_unclosed_elements_cost_their_length():
     import time
 
-    for page in ("<div class=ad>x " * 50_000, "<div class=ad><p>x</div>" * 30_000, "<aside>" * 50_000 + "x</aside>" * 50_000):
+    for page in ("<div class=ad>x " * 50_000, "<div class=ad><p>x</div>" * 30_000, "<aside>" * 50_000 + "x</aside>" * 50_000, "<main>" + "<header>" * 30_000 + "<h1>x</h1>" + "</header>" * 30_000):
         start = time.time()
         X.extract(page, WEIGHTS)
         assert time.time() - start < 4

@@ -7,7 +7,8 @@ element, of other elements with most of the page's words, and elsewhere: the mor
 the more it costs.  Elements that never hold main text (scripts, menus,
 forms, and what a whole word of their class or id calls an advert, a notice, a
 comment, ...) are left out before the scan, wherever they are, unless such a
-class or id is on an element with most of the page's words.
+class or id is on an element with most of the page's words.  A header within an
+article or main element that holds a heading is part of the text.
 
 Inside the run, block elements separate blocks; character references are
 decoded, white space in a block becomes one space, blocks are joined by line
@@ -50,6 +51,8 @@ SHAPES = frozenset("area bar block bottom box btn button container holder items
 #: Those that name what readers reply, and those that a part of a text may be about; the parts, and their headings, that have ids for links to them.
 REPLIES = frozenset("comment comments discussion disqus replies respond".split())
 SUBJECTS = frozenset("ad ads adv advert adverts advertisement advertising alert banner consent cookie cookies disclaimer discussion form gdpr header legal login menu navigation newsletter notice notices promo related replies respond search share sharing signup skip social sponsor sponsored subscribe widget".split())
+#: Those of an article's header, which stays if it holds a heading.
+HEADERS = frozenset(("header", "masthead", "banner"))
 PARTS = frozenset("a b blockquote code dd dl dt em figure h1 h2 h3 h4 h5 h6 i li ol p pre section span strong table td th tr ul".split())
 
 #: Words that a unit of log odds against a tag costs, and what every tag costs at least.
@@ -61,9 +64,9 @@ _PART = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
 def _away(name: str, attributes: str) -> str | None:
-    """Why an element isn't main text: "always", "named", or "replies", which may be longer than what they reply to; None if it may be."""
+    """Why an element isn't main text: "always", "named", "header", or "replies", which may be longer than what they reply to; None if it may be."""
     if name in NEVER:
-        return "always"
+        return "header" if name == "header" else "always"
     if "=" not in attributes or name in ("html", "body", "article", "main"):
         return None
     for m in _NAMED.finditer(attributes):
@@ -72,7 +75,7 @@ def _away(name: str, attributes: str) -> str | None:
             own = parts & AWAY
             # The whole token names what the element is; the id of a part of a text, or of its heading, names its subject.
             if own and parts <= AWAY | SHAPES and not (m[1].lower() == "id" and name in PARTS and own <= SUBJECTS):
-                return "replies" if own & REPLIES else "named"
+                return "replies" if own & REPLIES else "header" if own <= HEADERS else "named"
     return None
 
 
@@ -111,6 +114,8 @@ def tokens(page: str) -> list[tuple[str, str]]:
     at, end = 0, len(page)
     tags: dict[str, tuple[list[int], list[int], list[int], dict[int, list[int]]]] = {}
     sizes: list = []
+    headings: list[int] | None = None
+    inside = {"article": 0, "main": 0}
 
     def past(name: str, start: int) -> int | None:
         """Where the element opened just before ``start`` ends; None if it is never closed."""
@@ -151,6 +156,8 @@ def tokens(page: str) -> list[tuple[str, str]]:
         if not name:
             continue
         name = name.lower()
+        if name in inside and not (attributes or "").endswith("/"):
+            inside[name] = max(0, inside[name] + (-1 if slash else 1))
         if slash:
             out.append(("close", name))
         elif name in VOID or attributes.endswith("/"):
@@ -159,7 +166,13 @@ def tokens(page: str) -> list[tuple[str, str]]:
             stop = past(name, at)
             if stop is None and name in RAW:
                 stop = end
-            if why != "always" and stop and holds_most(at, stop, why):
+            if why == "header" and stop and any(inside.values()):
+                if headings is None:
+                    headings = [h.start() for h in re.finditer(r"<h[1-6](?=[\s/>])", page, re.I)]
+                if bisect.bisect_left(headings, at) < bisect.bisect_left(headings, stop):
+                    out.append(("open", name))
+                    continue
+            if why != "always" and name not in NEVER and stop and holds_most(at, stop, why):
                 out.append(("open", name))
                 continue
             out.append(("skip", name))
