@@ -19,6 +19,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say too of op1_secrets: the spans of the fixed patterns."""
+    return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles all weigh one, since the similarity asked for is that of plain sets; weights are a parameter of the signatures."""
     return near.classes(table(spark, sf_dir, "documents"), dart.signer)
@@ -28,6 +33,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say too of op3_sharding: each document once, with its size."""
+    return op3_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -40,6 +50,11 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbours(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say too of op6_fingerprint: lengths and edited texts."""
+    return op6_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other half of operator 6: bands of the permutations joined, Jaccard similarities verified."""
     return fingerprint.near_classes(table(spark, sf_dir, "documents"))
@@ -63,11 +78,14 @@ def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "secrets_base": secrets_base,
     "op2_minhash": op2_minhash,
     "op3_sharding": op3_sharding,
+    "shard_sizes": shard_sizes,
     "op4_substring": op4_substring,
     "op5_decontaminate": op5_decontaminate,
     "op6_fingerprint": op6_fingerprint,
+    "fingerprint_edits": fingerprint_edits,
     "fingerprint_classes": fingerprint_classes,
     "op7_quality": op7_quality,
     "op8_language": op8_language,

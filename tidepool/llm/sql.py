@@ -4,6 +4,34 @@ The others rest on hashes, models or token ids that SQL doesn't have; the tests
 hold them against brute force, held-out labels or exact round trips.
 """
 
+#: The kinds of base spans, their patterns, the group whose length counts, and its least length.
+_BASE = [
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+]
+
+#: Base spans: places from the lengths of matches and of the pieces between them.
+SECRETS_BASE = (
+    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),\nfound AS ("
+    + " UNION ALL ".join(f"SELECT r, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, {least} AS least, string_split_regex(t, '{pattern}') AS g FROM d" for k, (kind, pattern, group, least) in enumerate(_BASE))
+    + r"""),
+spans AS (SELECT r, k, kind, m, v, least, g, unnest(generate_series(1, len(m))) AS i FROM found),
+placed AS (SELECT r, k, kind, length(m[i]) AS n, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s FROM spans WHERE length(v[i]) >= least),
+said AS (SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + n AS BIGINT) AS VARCHAR), ',' ORDER BY s, k) AS spans FROM placed GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN said ON d.r = said.r
+"""
+)
+
+#: What every document weighs, and the law.
+SHARD_SIZES = "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'key' AS law FROM documents"
+
+#: Texts whose second half is the beginning of the next one.
+FINGERPRINT_EDITS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text, 1, first_text) OVER (ORDER BY doc_id), '') AS following FROM documents, (SELECT arg_min(coalesce(text, ''), doc_id) AS first_text FROM documents))
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substring(t, 1, length(t) - length(t) // 2) || substring(following, 1, length(t) // 2)) AS edited_sha256 FROM d
+"""
+
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 #: Pairs of at least 0.8, followed to the smallest document that they reach.
@@ -51,4 +79,4 @@ plain AS (SELECT page_id, url, array_to_string(list_filter(list_transform(blocks
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM plain
 """
 
-ORACLE: dict[str, str] = {"op2_minhash": OP2, "fingerprint_classes": OP2, "op4_substring": OP4, "op5_decontaminate": OP5, "op10_extract": OP10}
+ORACLE: dict[str, str] = {"secrets_base": SECRETS_BASE, "shard_sizes": SHARD_SIZES, "fingerprint_edits": FINGERPRINT_EDITS, "op2_minhash": OP2, "fingerprint_classes": OP2, "op4_substring": OP4, "op5_decontaminate": OP5, "op10_extract": OP10}
