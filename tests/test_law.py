@@ -9,7 +9,7 @@ from tests import oracle
 from tidepool.engine import Engine
 from tidepool.operators import deltas, view
 from tidepool.operators.incremental import LiveList
-from tidepool.plans import ir
+from tidepool.plans import ir, lower
 from tidepool.plans.compile import compile_query
 from tidepool.schema import Catalog, Relation, Table
 from tidepool.sources.local import frame_of
@@ -241,3 +241,20 @@ def test_file_stream_converges(spark, tmp_path):
             fresh.close()
         assert engine.tables["issues"].where(F.col("id") == 9).first()["priority"] == 5
         assert [r[0] for r in live.rows] == [1, 4, 3]
+
+
+def test_lists_beyond_the_broadcast_bound_are_the_same(spark, monkeypatch):
+    rng = random.Random(17)
+    state = {"parents": {k: parent(rng, k) for k in range(60)}, "children": {k: child(rng, k) for k in range(200)}}
+    kids = ir.Query("children", order=(ir.Order("v", True),), limit=2)
+    query = compile_query(ir.Query("parents", order=(ir.Order("r"),), limit=40, related=(ir.Related("children", kids),)), catalog())
+    one = LiveList(query).hydrate(frames(spark, state))
+    plan = lambda: lower.explain(lower.evaluate(query, frames(spark, state)))
+    hinted = plan()
+    monkeypatch.setattr(lower, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "BroadcastHashJoin" in hinted and "BroadcastHashJoin" not in plan()
+        assert LiveList(query).hydrate(frames(spark, state)) == one
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -388,6 +388,22 @@ def _(spark, sf_dir):
     return deltas.to_zset(_feed(spark, sf_dir)).select("key", "row.o_totalprice", "weight")
 
 
+@_register("zset_back", _shown_sql(_OLD, _NEW))
+def _(spark, sf_dir):
+    """Weighted rows of two batches added up are the batch of both steps: what the first one adds the second takes away."""
+    old, new = _old_new(spark, sf_dir)
+    there, back = deltas.diff(old, new, "o_orderkey"), deltas.diff(new, old, "o_orderkey")
+    weighted = deltas.to_zset(there).unionByName(deltas.to_zset(back)).unionByName(deltas.to_zset(there))
+    return _shown(deltas.from_zset(weighted))
+
+
+@_register("union_batches", _shown_sql(_OLD, _NEW))
+def _(spark, sf_dir):
+    """The batches of three writers, who insert, update and delete different keys, as one."""
+    feed = _feed(spark, sf_dir)
+    return _shown(deltas.union_changes(*[feed.where(deltas.kind() == k) for k in (deltas.INSERT, deltas.UPDATE, deltas.DELETE)]))
+
+
 @_register("compose_batches", _shown_sql(_OLD, "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 10 <> 3 UNION ALL SELECT o_orderkey + 20000000 AS o_orderkey, o_custkey, o_totalprice + 5 AS o_totalprice FROM orders WHERE o_orderkey % 10 = 4)"))
 def _(spark, sf_dir):
     """Three changes of some keys: deleted rows that came back vanish, an insert that was changed is one insert, an update that was deleted one delete."""
