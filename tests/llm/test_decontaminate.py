@@ -55,8 +55,28 @@ def test_empty_tables_repeats_and_spans(spark):
     assert [r.contaminated for r in D.contamination(docs, bench).collect()] == [False] * 3
     some = spark.createDataFrame([(1, "b c")], "item_id long, text string")
     assert D.contamination(tables.empty(spark), some).count() == 0
-    test = D.TestSet([(1, "b c")], 10)
-    assert D.remove_spans("a B, c! d", test) == "a d" and D.remove_spans("a b", test) == "a b" and D.remove_spans(None, test) is None
+    texts = ["a B, c! d", "a b", None, "", "B-c", "é (b c) b c. 🙂"]
+    cut = D.remove_spans(tables.documents(spark, texts).withColumn("hit", F.lit("x")), some)
+    assert sorted((r.doc_id, r.text, r.n_chars, r.hit) for r in cut.collect()) == [(0, "a ! d", 5, "x"), (1, "a b", 3, "x"), (2, None, None, "x"), (3, "", 0, "x"), (4, "", 0, "x"), (5, "é (. 🙂", 6, "x")]
+    assert D.remove_spans(tables.empty(spark), some).count() == 0 and sorted(r.text or "" for r in D.remove_spans(docs, bench).collect()) == ["", "a b", "a b"]
+
+
+def test_spans_equal_brute_force_in_one_block_and_in_many(spark):
+    texts, items = make(spark)
+    docs, bench = tables.documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    windows = {tuple(w[i : i + min(10, len(w))]) for _, t in items if (w := fold(t)) for i in range(len(w) - min(10, len(w)) + 1)}
+    want = []
+    for text in texts:
+        w, hit = fold(text), set()
+        for k in {len(x) for x in windows}:
+            hit.update(q for p in range(len(w) - k + 1) if tuple(w[p : p + k]) in windows for q in range(p, p + k))
+        want.append([x for i, x in enumerate(w) if i not in hit])
+    for most in (D.MAX_BYTES, 400):
+        cut = D.remove_spans(docs, bench, max_bytes=most)
+        assert cut.columns == docs.columns
+        got = {r.doc_id: r for r in cut.collect()}
+        assert [fold(got[i].text) for i in range(len(texts))] == want
+        assert all(got[i].text == t for i, t in enumerate(texts) if len(fold(t)) == len(want[i]))
 
 
 def test_a_block_is_as_large_as_it_says():

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .cluster import pick
+from .cluster import free_name, pick
 
 #: Bytes of one broadcast block: its items' texts and what it holds for each of their words; its bit filters have up to 16 MB more for each length of windows.
 MAX_BYTES = 32 << 20
@@ -202,11 +202,48 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 10,
     return clean
 
 
-def remove_spans(text: str | None, test: TestSet) -> str | None:
-    """The text without its hit words, as folded words joined by blanks; unchanged where there are none."""
-    if text is None:
-        return None
-    ((_, _, hit, items),) = scan([text], test)
-    if not items:
-        return text
-    return b" ".join(w for w, x in zip(text.encode(errors="replace").translate(W.FOLD).split(), hit) if not x).decode()
+def _without(text: str, places: list[int]) -> str:
+    """The text less these words, counted in its folded form; runs of them go with what is between, everything else stays as it is."""
+    data = text.encode(errors="replace")
+    _, starts, ends = W.hash_words(data.translate(W.FOLD))  # folding keeps every byte's place
+    out, at, p = [], 0, np.asarray(places, dtype=np.int64)
+    breaks = np.flatnonzero(np.diff(p) > 1)
+    for a, b in zip(p[np.concatenate(([0], breaks + 1))], p[np.concatenate((breaks, [len(p) - 1]))]):
+        out.append(data[at : starts[a]])
+        at = int(ends[b])
+    return b"".join([*out, data[at:]]).decode()
+
+
+def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The documents, with all their columns, less the hit words of their texts; n_chars, if there, follows the text.
+
+    Hits are judged on the input: the places of each block's hits travel with
+    the rows, and words go only behind the last block.
+    """
+    at, name = documents.columns.index("text"), free_name(documents, "hit")
+    marked = documents.withColumn(name, F.array().cast("array<int>"))
+    for block in _blocks(pick(benchmark, "item_id", "text"), max_bytes):
+        test = documents.sparkSession.sparkContext.broadcast(TestSet(block, n))
+
+        def mark(batches, test=test):
+            for batch in W.slices(batches, at):
+                places = batch.columns[-1].to_pylist()
+                for i, _, hit, items in scan(batch.column(at).to_pylist(), test.value):
+                    if items:
+                        places[i] = np.union1d(places[i], np.flatnonzero(hit)).astype(np.int32).tolist()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(places, pa.list_(pa.int32()))], batch.schema.names)
+
+        marked = marked.mapInArrow(mark, marked.schema)
+
+    def cut(batches):
+        for batch in W.slices(batches, at):
+            columns, schema = batch.columns[:-1], pa.schema(list(batch.schema)[:-1])
+            texts = [_without(t, p) if p else t for t, p in zip(columns[at].to_pylist(), batch.columns[-1].to_pylist())]
+            if "n_chars" in schema.names:
+                j = schema.names.index("n_chars")
+                old = zip(columns[j].to_pylist(), batch.columns[-1].to_pylist(), texts)
+                columns[j] = pa.array([len(t) if p else c for c, p, t in old], schema.field(j).type)
+            columns[at] = pa.array(texts, schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return marked.mapInArrow(cut, documents.schema)
