@@ -16,7 +16,7 @@ def odd_texts():
     return t
 
 
-@pytest.mark.parametrize("name", ["secrets_base", "shard_sizes", "fingerprint_edits", "op4_substring"])
+@pytest.mark.parametrize("name", ["secrets_base", "op3_sharding", "fingerprint_edits", "op4_substring"])
 def test_queries_equal_their_sql_on_odd_texts(spark, tmp_path, name):
     rng = random.Random(32)
     t = odd_texts()
@@ -30,3 +30,13 @@ def test_queries_equal_their_sql_on_odd_texts(spark, tmp_path, name):
     assert sorted(got.columns) == sorted(names)
     key = lambda r: r["doc_id"]
     assert sorted((r.asDict() for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_sharding_equals_its_sql_on_odd_numbers(spark, tmp_path):
+    texts = ["a", "a", None, "", "é" * 300, "b", "b", "c"]
+    tables.documents(spark, texts, [None, None, -5, -5, 2**63 - 1, 0, 0, -(2**63)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op3_sharding"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql.ORACLE['op3_sharding']})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))

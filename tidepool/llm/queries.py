@@ -33,11 +33,6 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can say too of op3_sharding: each document once, with its size."""
-    return op3_sharding(spark, sf_dir).select("doc_id", "size", "law")
-
-
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -81,7 +76,6 @@ QUERIES = {
     "secrets_base": secrets_base,
     "op2_minhash": op2_minhash,
     "op3_sharding": op3_sharding,
-    "shard_sizes": shard_sizes,
     "op4_substring": op4_substring,
     "op5_decontaminate": op5_decontaminate,
     "op6_fingerprint": op6_fingerprint,

@@ -1,9 +1,12 @@
 """SQL that the queries of this subpackage must equal, where SQL can express them.
 
-The others rest on hashes, models or token ids that SQL doesn't have; the tests
-hold them against brute force, held-out labels or exact round trips.
+The others rest on models, signatures or token ids that SQL doesn't have; the
+tests hold them against brute force, held-out labels or exact round trips, and
+what SQL can say of op1 and op6 has queries of its own.
 """
 
+import xxhash
+
 #: The kinds of base spans, their patterns, the group whose length counts, and its least length.
 _BASE = [
     ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -23,8 +26,57 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 """
 )
 
-#: What every document weighs, and the law.
-SHARD_SIZES = "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'key' AS law FROM documents"
+# The primes of xxHash64.
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+
+def _wrap(x: str) -> str:
+    """A sum or product of 64-bit values without its overflow."""
+    return f"CAST(({x}) % 18446744073709551616 AS UBIGINT)"
+
+
+def _wide(x) -> str:
+    return f"CAST({x} AS UHUGEINT)"
+
+
+def _turn(x: str, n: int) -> str:
+    return f"({_wrap(f'{_wide(x)} * {1 << n}')} | ({x} >> {64 - n}))"
+
+
+def _xxhash64(out: str, seed: str, value: str) -> str:
+    """Columns that lead to ``out``, the hash of one 64-bit value; a null leaves the seed."""
+    steps = [
+        (f"{out}_1", _wrap(f"{_wide(value)} * {_P2}")),
+        (f"{out}_2", _wrap(f"{_wide(_turn(f'{out}_1', 31))} * {_P1}")),
+        (f"{out}_3", f"xor({_wrap(f'{_wide(seed)} + {_P5 + 8}')}, {out}_2)"),
+        (f"{out}_4", _wrap(f"{_wide(_turn(f'{out}_3', 27))} * {_P1} + {_P4}")),
+        (f"{out}_5", _wrap(f"{_wide(f'xor({out}_4, {out}_4 >> 33)')} * {_P2}")),
+        (f"{out}_6", _wrap(f"{_wide(f'xor({out}_5, {out}_5 >> 29)')} * {_P3}")),
+        (out, f"coalesce(xor({out}_6, {out}_6 >> 32), {seed})"),
+    ]
+    return ", ".join(f"{x} AS {name}" for name, x in steps)
+
+
+def _tree() -> str:
+    """parent, name, weight and the hash of the name: two regions of two racks of two shards, and once more with a ninth shard beside them."""
+    rows = [(top, f"region-{r}", 4.0) for top in ("root", "grown") for r in range(2)] + [("grown", "region-2", 1.0)]
+    rows += [(f"region-{r}", f"region-{r}/rack-{k}", 2.0) for r in range(2) for k in range(2)]
+    rows += [(f"region-{r}/rack-{k}", f"shard-{4 * r + 2 * k + x}", 1.0) for r in range(2) for k in range(2) for x in range(2)]
+    return ", ".join(f"('{parent}', '{name}', {weight}, CAST({xxhash.xxh64(name.encode(), seed=42).intdigest()} AS UBIGINT))" for parent, name, weight in rows)
+
+
+#: Sizes, checksums by a table, draws of every node of the tree, and the way down along the smallest; slots in the order of hash buckets.
+OP3 = f"""
+WITH remainders AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(generate_series(0, 255)) AS i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, CAST(CASE WHEN doc_id < 0 THEN CAST(doc_id AS HUGEINT) + 18446744073709551616 ELSE doc_id END AS UBIGINT) AS id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+sized AS (SELECT r, doc_id, id, CAST(len(b) + 1 AS BIGINT) AS size, CAST(xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) AS BIGINT) AS crc FROM d, remainders),
+tree(parent, name, weight, seed) AS (VALUES {_tree()}),
+hashed AS (SELECT r, parent, name, weight, {_xxhash64("h", "seed", "id")} FROM sized, tree),
+won AS (SELECT r, parent, arg_min(name, -ln((CAST(h >> 11 AS DOUBLE) + 0.5) * pow(2.0, -53)) / weight) AS child FROM hashed GROUP BY r, parent),
+placed AS (SELECT sized.*, CAST(substring(c.child, 7) AS INTEGER) AS shard, g.child = 'region-2' AS moves FROM sized JOIN won a ON a.r = sized.r AND a.parent = 'root' JOIN won b ON b.r = sized.r AND b.parent = a.child JOIN won c ON c.r = sized.r AND c.parent = b.child JOIN won g ON g.r = sized.r AND g.parent = 'grown'),
+dealt AS (SELECT *, {_xxhash64("first", "CAST(42 AS UBIGINT)", "id")}, {_xxhash64("bucket", "first", "crc")} FROM placed)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket & 4095, doc_id NULLS FIRST, crc, size) - 1 AS slot, CASE WHEN moves THEN 8 ELSE shard END AS grown_shard FROM dealt
+"""
 
 #: Texts whose second half is the beginning of the next one.
 FINGERPRINT_EDITS = """
@@ -79,4 +131,4 @@ plain AS (SELECT page_id, url, array_to_string(list_filter(list_transform(blocks
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM plain
 """
 
-ORACLE: dict[str, str] = {"secrets_base": SECRETS_BASE, "shard_sizes": SHARD_SIZES, "fingerprint_edits": FINGERPRINT_EDITS, "op2_minhash": OP2, "fingerprint_classes": OP2, "op4_substring": OP4, "op5_decontaminate": OP5, "op10_extract": OP10}
+ORACLE: dict[str, str] = {"secrets_base": SECRETS_BASE, "fingerprint_edits": FINGERPRINT_EDITS, "op2_minhash": OP2, "fingerprint_classes": OP2, "op3_sharding": OP3, "op4_substring": OP4, "op5_decontaminate": OP5, "op10_extract": OP10}
