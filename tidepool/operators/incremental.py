@@ -8,15 +8,18 @@ end; only if fewer than ``limit`` rows are left is the table read again, after
 the window's last row.  Spark orders the rows and does the scans, and each scan
 is bounded by the window, so the driver holds the window and nothing else.
 
-Children are read again for the parents that a batch touches, in one job.  An
-unbounded list is evaluated anew and compared.
+Children are kept likewise, a window for each visible parent: a batch of the
+driver's rows changes the windows it touches, and the table is read again, in
+one job, only for parents that are new on screen or have too few children left.
+Batches of a stream, and children with children of their own, have their
+touched parents read again.  An unbounded list is evaluated anew and compared.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 from ..functions import ordering
 from ..functions.values import join_keys
 from ..plans import ir, lower
-from ..plans.compile import Compiled
+from ..plans.compile import Child, Compiled
 from ..sources.local import frame_of, is_local
 from . import deltas
 
@@ -149,6 +152,90 @@ class TopK:
         return before - len(self.rows)
 
 
+@dataclass
+class Kids:
+    """The first children of one parent, in order, with all their columns.  full: there are no more."""
+
+    rows: list[Row]
+    full: bool
+
+
+@dataclass
+class ChildWindows:
+    """The windows of one relation, by the parent's key.  Children with children of their own are held as they are shown."""
+
+    child: Child
+    slack: int = -1
+    held: dict[Any, Kids] = field(default_factory=dict)
+    since_growth: int = 0
+
+    def __post_init__(self):
+        self.limit = self.child.query.limit
+        self.plain = not self.child.query.children
+        if self.slack < 0:
+            self.slack = first_slack(self.limit)
+
+    @property
+    def read(self) -> Child:
+        """What is read of the table: one row more than the window holds tells whether there are more."""
+        query = self.child.query
+        return replace(self.child, query=replace(query, select=None, limit=self.limit + self.slack + 1)) if self.plain else self.child
+
+    def take(self, key: Any, rows: list[Row]) -> None:
+        size = self.limit + self.slack
+        self.held[key] = Kids(rows[:size], len(rows) <= size) if self.plain else Kids(rows, True)
+
+    def shown(self, key: Any) -> list[Row]:
+        rows = self.held[key].rows[: self.limit]
+        chosen = self.child.query.select if self.plain else None
+        return [Row(*chosen)(*[r[c] for c in chosen]) for r in rows] if chosen else rows
+
+    def change(self, batch: DataFrame, parents: Mapping[Any, list]) -> set:
+        """Takes a batch of the driver's rows into the windows of parents, keys by the value that children name; returns the keys whose windows are short."""
+        query, fk = self.child.query, self.child.relation.child_column
+        key, schema = query.table.key, batch.schema["after"].dataType
+        changes = deltas.filter_changes(batch, query.where, query.params).collect()
+        gone = {r["key"] for r in changes}
+        fresh: dict[Any, list[Row]] = {}
+        for r in changes:
+            for image, comes in ((r["before"], False), (r["after"], True)):
+                if image is not None and image[fk] in parents:
+                    fresh.setdefault(image[fk], []).extend([image] if comes else [])
+        now: dict[Any, list[Row]] = {}
+        rows: list[tuple] = []
+        keys: list = []
+        for link, more in fresh.items():
+            for k in parents[link]:
+                held = self.held[k]
+                now[k] = [r for r in held.rows if r[key] not in gone]
+                if more:
+                    rows += [(len(keys), False, *r) for r in now[k] + more]
+                    # What comes behind the window's old end may come behind rows that aren't here.
+                    rows += [] if held.full else [(len(keys), True, *held.rows[-1])]
+                    keys.append(k)
+                    now[k] = []
+        if rows:
+            names = schema.names
+            parent, end = (lower.free_column(n, names) for n in ("parent", "end"))
+            frame = frame_of(batch.sparkSession, rows, T.StructType([T.StructField(parent, T.IntegerType()), T.StructField(end, T.BooleanType()), *schema]))
+            make, ended = Row(*names), set()
+            for r in frame.orderBy(parent, *ordering.order_columns(query.order, key), end).collect():
+                if r[end]:
+                    ended.add(r[parent])
+                elif r[parent] not in ended:
+                    now[keys[r[parent]]].append(make(*r[2:]))
+        short, size = set(), self.limit + self.slack
+        for k, own in now.items():
+            full = self.held[k].full and len(own) <= size
+            self.held[k] = Kids(own[:size], full)
+            if not full and len(own) < self.limit:
+                short.add(k)
+        self.since_growth += len(short)
+        if self.since_growth >= REFILLS_PER_GROWTH:
+            self.slack, self.since_growth = min(largest_slack(self.limit), max(1, self.slack * 2)), 0
+        return short
+
+
 @dataclass
 class LiveList:
     """One query kept up to date: ``rows`` is the ordered answer as (key, row) pairs; ``wide`` has them with all columns, where only some are chosen."""
@@ -160,12 +247,14 @@ class LiveList:
     counters: Counters = field(default_factory=Counters)
     requery: bool = False
     wide: list[tuple[Any, tuple]] = field(default_factory=list)
+    kids: list[ChildWindows] = field(default_factory=list)
 
     def __post_init__(self):
         if self.query.limit is None:
             self.requery = True  # all of it is on screen
         else:
             self.window = TopK(self.query, self.slack, counters=self.counters)
+            self.kids = [ChildWindows(c, self.slack) for c in self.query.children]
 
     # -- answers
 
@@ -184,14 +273,21 @@ class LiveList:
         if not parents:
             return {}
         frame = frame_of(spark, parents, schema)
-        for child in self.query.children:
-            frame = lower.attach(frame, len(parents), child, tables, [r[child.relation.parent_column] for r in parents])
-        found = {r[self.query.table.key]: tuple(r) for r in frame.collect()}
-        if self.query.children:
-            self.counters.child_refills += 1
-            self.counters.child_rows += sum(len(x) for r in found.values() for x in r[len(schema) :])
+        for kids in self.kids:
+            frame = lower.attach(frame, len(parents), kids.read, tables, [r[kids.child.relation.parent_column] for r in parents])
+        found, width = {}, len(schema)
+        for r in frame.collect():
+            key = r[self.query.table.key]
+            for kids, rows in zip(self.kids, r[width:]):
+                kids.take(key, rows)
+                self.counters.child_rows += len(rows)
+            found[key] = self._with_kids(key, tuple(r[:width]))
+        self.counters.child_refills += bool(self.kids)
         return found
 
+    def _with_kids(self, key: Any, row: tuple) -> tuple:
+        return (*row, *(kids.shown(key) for kids in self.kids))
+
     def hydrate(self, tables: lower.Tables) -> list[tuple[Any, tuple]]:
         if self.requery:
             self.rows = self._from_scratch(tables)
@@ -224,35 +320,45 @@ class LiveList:
         root = tables[query.table.name]
         if query.table.name in batches:
             self.window.apply(deltas.filter_changes(batches[query.table.name], query.where, query.params), tables)
-        old = dict(self.wide)
-        visible = self.window.visible
-        width = len(root.schema)
-        stale = self._parents_of_changed_children(visible, batches, tables, root)
-        again = [r for r in visible if r[query.table.key] in stale or r[query.table.key] not in old or tuple(r) != old[r[query.table.key]][:width]]
-        found = self._nested(again, tables, root.sparkSession, root.schema)
-        return self._show([(k, found.get(k) or old[k]) for k in (r[query.table.key] for r in visible)])
-
-    def _parents_of_changed_children(self, visible: list[Row], batches: Mapping[str, DataFrame], tables: lower.Tables, root: DataFrame) -> set:
-        """Keys of visible parents that a child's image, old or new, belongs to; every parent if a deeper table changed."""
-        query, out = self.query, set()
+        visible, key = self.window.visible, query.table.key
+        at = [root.schema.names.index(kids.child.relation.parent_column) for kids in self.kids]
+        old = {k: tuple(r[i] for i in at) for k, r in self.wide}
+        same = [r for r in visible if old.get(r[key]) == tuple(r[i] for i in at)]  # their children name them as before
+        stale = self._parents_of_changed_children(same, batches, root) | {r[key] for r in visible} - {r[key] for r in same}
+        found = self._nested([r for r in visible if r[key] in stale], tables, root.sparkSession, root.schema)
+        shown = self._show([(r[key], found.get(r[key]) or self._with_kids(r[key], tuple(r))) for r in visible])
+        for kids in self.kids:
+            kids.held = {k: kids.held[k] for k, _ in shown}
+        return shown
+
+    def _parents_of_changed_children(self, visible: list[Row], batches: Mapping[str, DataFrame], root: DataFrame) -> set:
+        """Keys of those parents whose children must be read again; the windows of the others have the changes."""
+        key, out = self.query.table.key, set()
         if not visible:
             return out
-        for child in query.children:
-            if (child.query.tables - {child.relation.child}) & set(batches):
-                return {r[query.table.key] for r in visible}
-            if child.relation.child not in batches:
+        for kids in self.kids:
+            child, relation = kids.child, kids.child.relation
+            if (child.query.tables - {relation.child}) & set(batches):
+                return {r[key] for r in visible}
+            if relation.child not in batches:
                 continue
-            relation = child.relation
             batch = batches[relation.child]
             kind = batch.schema["after"].dataType[relation.child_column].dataType
             if is_local(batch) and kind == root.schema[relation.parent_column].dataType and isinstance(kind, (T.IntegralType, T.StringType)):
-                fks = {x for r in batch.select(f"before.`{relation.child_column}`", f"after.`{relation.child_column}`").collect() for x in r} - {None}
-                out |= {r[query.table.key] for r in visible if r[relation.parent_column] in fks}
+                parents: dict[Any, list] = {}
+                for r in visible:
+                    if r[relation.parent_column] is not None:
+                        parents.setdefault(r[relation.parent_column], []).append(r[key])
+                if kids.plain:
+                    out |= kids.change(batch, parents)
+                else:
+                    fks = {x for r in batch.select(f"before.`{relation.child_column}`", f"after.`{relation.child_column}`").collect() for x in r}
+                    out |= {k for x in fks for k in parents.get(x, ())}
                 continue
-            parents = frame_of(root.sparkSession, visible, root.schema)
-            own, theirs = join_keys(F.col(f"`{relation.parent_column}`"), parents.schema[relation.parent_column].dataType, F.col("fk"), kind)
+            shown = frame_of(root.sparkSession, visible, root.schema)
+            own, theirs = join_keys(F.col(f"`{relation.parent_column}`"), shown.schema[relation.parent_column].dataType, F.col("fk"), kind)
             sides = batch.select(F.explode(F.array(F.col(f"before.`{relation.child_column}`"), F.col(f"after.`{relation.child_column}`"))).alias("fk")).select(theirs.alias("fk")).where("fk IS NOT NULL")
-            keyed = F.broadcast(parents.select(F.col(f"`{query.table.key}`").alias("key_"), own.alias("fk")))
+            keyed = F.broadcast(shown.select(F.col(f"`{key}`").alias("key_"), own.alias("fk")))
             out |= {r["key_"] for r in sides.join(keyed, "fk").select("key_").distinct().collect()}
         return out
 
@@ -270,14 +376,15 @@ class LiveList:
         out.append(("top k", bytes_of(self.window.rows)) if self.window else ("requery", bytes_of(r for _, r in self.rows)))
         width = len(query.select or query.table.columns)
         for i, child in enumerate(query.children):
-            out += [(f"source {child.relation.child}", 0), (f"join {child.name}", sum(bytes_of(r[width + i]) for _, r in self.rows))]
+            kept = (x.rows for x in self.kids[i].held.values()) if self.window else (r[width + i] for _, r in self.rows)
+            out += [(f"source {child.relation.child}", 0), (f"join {child.name}", sum(map(bytes_of, kept)))]
         return out + ([("project", 0)] if query.select else []) + [("view", 0)]
 
     def node_names(self) -> list[str]:
         return [name for name, _ in self.state_report()]
 
     def degrade_report(self) -> list[tuple[str, Outcome]]:
-        """Gives up what can be read again; what each operator did.  Children and unbounded lists are on screen, so they stay."""
+        """Gives up what can be read again; what each operator did.  Unbounded lists and children, with the slack of their windows, stay."""
         before = self.state_report()
         self.degrade()
         out = []

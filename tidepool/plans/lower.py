@@ -55,7 +55,7 @@ def top(query: Compiled, tables: Tables) -> DataFrame:
     return scan(query, tables, query.start_after, query.limit)
 
 
-def _free(name: str, taken: list[str]) -> str:
+def free_column(name: str, taken: list[str]) -> str:
     """The name, or one made from it that isn't taken (in any case of letters)."""
     lower = {t.lower() for t in taken}
     while name in lower:
@@ -71,7 +71,7 @@ def children_of(parents: DataFrame, bound: int | None, child: Child, tables: Tab
     relation, query = child.relation, child.query
     kids = filtered(query, tables)
     names = list(query.select or query.table.columns) + [nested.name for nested in query.children]
-    parent, rank = (_free(n, [*kids.columns, *names]) for n in ("parent", "rank"))
+    parent, rank = (free_column(n, [*kids.columns, *names]) for n in ("parent", "rank"))
     own_type, kind = parents.schema[relation.parent_column].dataType, kids.schema[relation.child_column].dataType
     if values is not None and own_type == kind and isinstance(kind, (T.IntegralType, T.StringType)) and len(values) <= BROADCAST_ROWS:
         kids = kids.where(F.col(f"`{relation.child_column}`").isin([x for x in dict.fromkeys(values) if x is not None]))
@@ -91,7 +91,7 @@ def attach(parents: DataFrame, bound: int | None, child: Child, tables: Tables,
     names = [n for n in kids.columns if n not in (parent, rank)]
     item = F.struct(F.col(rank).alias("rank"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     lists = kids.groupBy(parent).agg(F.array_sort(F.collect_list(item), lambda a, b: a["rank"] - b["rank"]).alias("items"))
-    own_key, list_key = (_free(n, [*parents.columns, child.name]) for n in ("parent_key_", "list_key_"))
+    own_key, list_key = (free_column(n, [*parents.columns, child.name]) for n in ("parent_key_", "list_key_"))
     lists = lists.select(F.col(parent).alias(list_key), F.transform("items", lambda x: x["row"]).alias(child.name))
     own, _ = join_keys(F.col(f"`{child.relation.parent_column}`"), parents.schema[child.relation.parent_column].dataType, F.col(list_key), lists.schema[list_key].dataType)
     keyed = parents.withColumn(own_key, own)
